@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: Rows handed to Python at once; with documents of some kB a batch stays at a few MB.
 ARROW_ROWS = 512
 #: Bytes hashed at once; numpy holds about 50 bytes for each of them meanwhile.
-PIECE = 1 << 20
+PIECE = 1 << 17
 
 
 def shared_dir(spark: SparkSession) -> str:
