@@ -11,6 +11,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import line_dedup
+
+    return line_dedup(_table(spark, sf_dir, "documents")).select("doc_id", "text")
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import packed
 
@@ -30,7 +36,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_best_fit_packing, op8_token_files, op10_near_dedup)}
+    return {f.__name__: f for f in (op1_line_dedup, op7_best_fit_packing, op8_token_files, op10_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
