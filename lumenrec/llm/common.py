@@ -33,10 +33,20 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read again: cuts lineage, survives the loss of executors."""
+    """df written to the shared folder and read again: cuts lineage, survives the loss of executors.
+
+    Shuffled rows are written in files of the advisory size, not in one for each
+    core: small tables make few files, and so few calls to the file system.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    key = "spark.sql.adaptive.coalescePartitions.parallelismFirst"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(key, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._lumenrec_path = path
     return out
