@@ -21,8 +21,6 @@ table gives an empty result; other columns are ignored or, where rows are
 filtered, kept.
 """
 
-from __future__ import annotations
-
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -164,10 +162,10 @@ def stems_in(text: str) -> set[str]:
 
 
 def clearly_toxic(t: np.ndarray, c: np.ndarray, toxic: int, clean: int) -> np.ndarray:
-    """Stems whose share of toxic texts is, error bounds included, several times that of clean ones."""
+    """Stems whose share of toxic texts is, error bounds included, several times that of clean ones, and which clean ones hardly have."""
     low = (t - 1.65 * np.sqrt(t)) / max(toxic, 1)
     high = (c + 1.65 * np.sqrt(c) + 1) / max(clean, 1)
-    return low >= 8 * high
+    return (low >= 6 * high) & (c <= 0.02 * t)
 
 
 def fit(x: np.ndarray, y: np.ndarray, steps: int = 40, ridge: float = 0.5) -> np.ndarray:
@@ -228,16 +226,14 @@ def scorer(stems: set[str], weights: np.ndarray, docs: DataFrame) -> Column:
     model = docs.sparkSession.sparkContext.broadcast((stems, weights))
     state: dict[str, Scanner] = {}
 
+    @F.arrow_udf("double")
     def scores(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scan, w = state.setdefault("scan", Scanner(model.value[0])), model.value[1]
         for texts in batches:
             x = np.array([scan(t) for t in texts.to_pylist()]).reshape(-1, len(w) - 1)
             yield pa.array(1 / (1 + np.exp(-np.clip(w[0] + x @ w[1:], -30, 30))), pa.float64())
 
-    from pyspark.sql.functions import arrow_udf
-    from pyspark.sql.pandas.functions import ArrowUDFType
-
-    return arrow_udf(scores, "double", ArrowUDFType.SCALAR_ITER)(F.col("text").cast("string"))
+    return scores(F.col("text").cast("string"))
 
 
 def held_out(modulus: int, remainder: int) -> Column:
