@@ -23,6 +23,12 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import languages
+
+    return languages(_table(spark, sf_dir, "documents"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import packed
 
@@ -42,7 +48,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op5_toxicity, op7_best_fit_packing, op8_token_files, op10_near_dedup)}
+    return {f.__name__: f for f in (op1_line_dedup, op5_toxicity, op6_language_id, op7_best_fit_packing, op8_token_files, op10_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
