@@ -41,6 +41,12 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(_table(spark, sf_dir, "documents"))
 
 
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .merkle import fingerprints
+
+    return fingerprints(_table(spark, sf_dir, "documents"))
+
+
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_dedup import near_duplicates
 
@@ -48,7 +54,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op5_toxicity, op6_language_id, op7_best_fit_packing, op8_token_files, op10_near_dedup)}
+    return {f.__name__: f for f in (op1_line_dedup, op5_toxicity, op6_language_id, op7_best_fit_packing, op8_token_files, op9_fingerprints, op10_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
