@@ -212,7 +212,7 @@ def _cut(vocabulary: str, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             docs, rows = batch.column(0).to_pylist(), []
-            for doc, ids in zip(docs, encoder(vocabulary).encode(batch.column(1).to_pylist())):
+            for doc, ids in zip(docs, encoder(vocabulary).encode(batch.column(1))):
                 ids = np.append(ids, np.uint32(END)).astype("<u4")
                 rows += [(doc, i, s, n, zlib.crc32(ids[s : s + n])) for i, (s, n) in enumerate(pieces_of(len(ids), capacity))]
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())

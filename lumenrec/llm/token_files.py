@@ -124,7 +124,7 @@ def _encode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
-            ids = [np.append(x, np.uint32(END)) for x in encoder(path).encode(batch.column(1).to_pylist())]
+            ids = [np.append(x, np.uint32(END)) for x in encoder(path).encode(batch.column(1))]
             packed = [squeeze(x.astype("<u2" if x.max() < 65536 else "<u4").tobytes()) for x in ids]
             wide = [bool(x.max() >= 65536) for x in ids]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(wide), pa.array(packed, pa.binary())], names=["doc_id", "tie", "wide", "ids"])
