@@ -51,9 +51,9 @@ def _knapsack(values: np.ndarray, sizes: np.ndarray, capacity: int) -> np.ndarra
     best, take = np.zeros(capacity + 1), np.full(capacity + 1, -1)
     order = np.argsort(sizes)
     s, v = sizes[order], values[order]
+    fits = np.searchsorted(s, np.arange(capacity + 1), "right").tolist()
     for room in range(int(s[0]) if len(s) else capacity + 1, capacity + 1):
-        fit = np.searchsorted(s, room, "right")
-        got = best[room - s[:fit]] + v[:fit]
+        got = best[room - s[: fits[room]]] + v[: fits[room]]
         k = int(got.argmax())
         best[room], take[room] = best[room - 1], -2
         if got[k] > best[room] + 1e-12:
@@ -68,17 +68,34 @@ def _knapsack(values: np.ndarray, sizes: np.ndarray, capacity: int) -> np.ndarra
     return out
 
 
+def _inverse(a: np.ndarray) -> np.ndarray:
+    """Gauss-Jordan elimination: a small matrix, and no threads of a linear algebra library beside Spark's."""
+    n = len(a)
+    both = np.concatenate([a, np.eye(n)], axis=1)
+    for i in range(n):
+        pivot = i + int(np.abs(both[i:, i]).argmax())
+        both[[i, pivot]] = both[[pivot, i]]
+        both[i] /= both[i, i]
+        rest = np.arange(n) != i
+        both[rest] -= both[rest, i, None] * both[i]
+    return both[:, n:]
+
+
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return (a * b).sum(axis=1)
+
+
 def configurations(sizes: np.ndarray, wanted: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     """Columns (configurations) and how often each is used, by the linear program min sum x, A x >= wanted."""
     exact, wanted = wanted, wanted * (1 + 1e-4 * np.random.default_rng(0).random(len(wanted)))  # equal groups would make steps of length 0
     basis = np.diag((capacity // sizes).astype(float))
     inverse = np.diag(1 / np.diag(basis))
-    for _ in range(ROUNDS):
+    for k in range(ROUNDS):
         price = inverse.sum(axis=0)
         column = _knapsack(np.maximum(price, 0), sizes, capacity)
-        if price @ column <= 1 + 1e-7:
+        if (price * column).sum() <= 1 + 1e-7:
             break
-        step, x = inverse @ column, inverse @ wanted
+        step, x = _times(inverse, column), _times(inverse, wanted)
         ratio = np.where(step > 1e-9, x / np.where(step > 1e-9, step, 1), np.inf)
         out = int(ratio.argmin())
         if not np.isfinite(ratio[out]):
@@ -87,9 +104,9 @@ def configurations(sizes: np.ndarray, wanted: np.ndarray, capacity: int) -> tupl
         inverse[out] /= step[out]
         rest = np.arange(len(sizes)) != out
         inverse[rest] -= np.outer(step[rest], inverse[out])
-        if _ % 100 == 99:
-            inverse = np.linalg.inv(basis)
-    return basis, np.maximum(np.linalg.solve(basis, exact), 0)
+        if k % 100 == 99:
+            inverse = _inverse(basis)
+    return basis, np.maximum(_times(_inverse(basis), exact), 0)
 
 
 class _Plan:

@@ -74,9 +74,16 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), k=3, threshold=85)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_decontaminate, op3_html_text, op4_chat_format, op5_toxicity, op6_language_id, op7_best_fit_packing, op8_token_files, op9_fingerprints, op10_near_dedup)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_decontaminate, op3_html_text, op4_chat_format, op5_toxicity, op6_language_id, op7_best_fit_packing, op8_token_files, op9_fingerprints, op10_near_dedup, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
+    """None: sketches, learned models, parsers and tokenizers are not SQL; each query is tested against brute force."""
     return {}
