@@ -12,7 +12,9 @@ least `min_words` words are removed from the text; the first copy of everything
 stays. Shorter repeats, such as one common line, stay too.
 
 Hot chunks: counts and first places are aggregated before they are shuffled, and
-every join is a plain equi-join that can be split; no group is gathered.
+every join is a plain equi-join that can be split; no group is gathered. Hashes
+and places travel without text; texts are dealt by document, once where `docs`
+has no further columns, and of chunks only those that are repeated.
 
 Odd input: null text stays null and is no line; an empty text stays; rows of the
 same doc_id and text are one document, and either keeps what the other keeps; a
@@ -22,6 +24,8 @@ all columns are kept, whatever their names.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,72 +36,107 @@ DIVISOR = 2
 MIN_WORDS = 50
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with value worked out once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def lines_of(text: Column) -> Column:
     """Lines with their ends; long ones by sentence. Joined they give the text again."""
-    lines = F.split(text, r"(?<=\n)")
-    return F.flatten(F.transform(lines, lambda x: F.when(F.length(x) > LONG, F.split(x, r"(?<=[.!?] )")).otherwise(F.array(x))))
 
+    def lines(parts: Column) -> Column:
+        last = F.size(parts) - 1
+        ended = F.transform(parts, lambda x, i: F.when(i < last, F.concat(x, F.lit("\n"))).otherwise(x))
+        return F.flatten(F.transform(ended, lambda x: F.when(F.length(x) > LONG, F.split(x, r"(?<=[.!?] )")).otherwise(F.array(x))))
 
-def chunks_of(lines: Column) -> Column:
-    """Array of (begin, text) of the chunks."""
-    hashes = F.transform(lines, lambda x: F.xxhash64(x))
-    long = F.transform(lines, lambda x: F.length(x) > LONG)
-    state = F.struct(lines.alias("line"), hashes.alias("hash"), long.alias("long"))
+    return let(F.split(text, "\n"), lines)
+
+
+def _begins(hashes: Column, long: Column) -> Column:
+    """Numbers of the lines with which chunks begin."""
+
+    def begins(i: Column) -> Column:
+        rolled = F.xxhash64(F.get(hashes, i - 2), F.get(hashes, i - 1))
+        return (i == 0) | (F.pmod(rolled, F.lit(DIVISOR)) == 0) | F.get(long, i) | F.get(long, i - 1)
+
+    return F.filter(F.sequence(F.lit(0), F.size(hashes) - 1), begins)
 
-    def cuts(s: Column) -> Column:
-        def begins(i: Column) -> Column:
-            rolled = F.xxhash64(F.get(s["hash"], i - 2), F.get(s["hash"], i - 1))
-            return (i == 0) | (F.pmod(rolled, F.lit(DIVISOR)) == 0) | F.get(s["long"], i) | F.get(s["long"], i - 1)
 
-        return F.struct(s["line"].alias("line"), F.filter(F.sequence(F.lit(0), F.size(s["line"]) - 1), begins).alias("begin"))
+def _chunks(lines: Column, of: Callable[[Column, Column, Column], Column]) -> Column:
+    """An array of of(lines' hashes, the slice's begin, its length) for each chunk."""
+    hashed = lambda x: F.struct(F.transform(x, lambda s: F.xxhash64(s)).alias("hash"), F.transform(x, lambda s: F.length(s) > LONG).alias("long"))
 
-    def chunk(s: Column, begin: Column, k: Column) -> Column:
-        end = F.coalesce(F.get(s["begin"], k + 1), F.size(s["line"]))
-        return F.struct(begin.alias("begin"), F.concat_ws("", F.slice(s["line"], begin + 1, end - begin)).alias("text"))
+    def cut(s: Column) -> Column:
+        def each(begins: Column) -> Column:
+            end = lambda k: F.coalesce(F.get(begins, k + 1), F.size(s["hash"]))
+            return F.transform(begins, lambda b, k: of(s["hash"], b, end(k) - b))
 
-    # arrays of one element, so that each step is worked out once
-    cut = F.transform(F.array(state), cuts)
-    return F.flatten(F.transform(cut, lambda s: F.transform(s["begin"], lambda b, k: chunk(s, b, k))))
+        return let(_begins(s["hash"], s["long"]), each)
+
+    return let(hashed(lines), cut)
+
+
+def chunk_hashes(text: Column) -> Column:
+    """Array of (begin, h): where each chunk begins and the hash of its lines' hashes."""
+    return let(lines_of(text), lambda x: _chunks(x, lambda h, b, n: F.struct(b.alias("begin"), F.xxhash64(F.slice(h, b + 1, n)).alias("h"))))
+
+
+def chunks_of(text: Column) -> Column:
+    """Array of (begin, text) of the chunks."""
+    return let(lines_of(text), lambda x: _chunks(x, lambda h, b, n: F.struct(b.alias("begin"), F.concat_ws("", F.slice(x, b + 1, n)).alias("text"))))
 
 
 def words_in(text: Column) -> Column:
     return F.size(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
 
 
-def _without_runs(chunks: Column, gone: Column, min_words: Column | int) -> Column:
-    """The text without runs of chunks that are `gone` and together have enough words."""
-    start = F.struct(F.lit("").alias("kept"), F.lit("").alias("run"))
+def without_runs(chunks: Column, same: Column, min_words: int) -> Column:
+    """The text without runs of at least min_words words of chunks whose text is the one that `same` has for their begin."""
+
+    def flags(c: Column) -> Column:
+        gone = F.transform(c, lambda x: F.coalesce(F.try_element_at(same, x["begin"]) == x["text"], F.lit(False)))
+        return F.struct(F.transform(c, lambda x: x["text"]).alias("text"), gone.alias("gone"))
 
-    def settle(acc: Column) -> Column:
-        return F.when(words_in(acc["run"]) >= min_words, acc["kept"]).otherwise(F.concat(acc["kept"], acc["run"]))
+    def runs(s: Column) -> Column:
+        at = F.sequence(F.lit(0), F.size(s["gone"]) - 1)
+        is_gone = lambda i: F.coalesce(F.get(s["gone"], i), F.lit(False))
+        first = F.filter(at, lambda i: is_gone(i) & ~is_gone(i - 1))
+        last = F.filter(at, lambda i: is_gone(i) & ~is_gone(i + 1))
+        size = lambda a, b: words_in(F.concat_ws("", F.slice(s["text"], a + 1, b - a + 1)))
+        long = F.filter(F.zip_with(first, last, lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda r: size(r["a"], r["b"]) >= min_words)
+        return F.struct(s["text"].alias("text"), long.alias("runs"))
 
-    def step(acc: Column, c: Column) -> Column:
-        more = F.struct(acc["kept"].alias("kept"), F.concat(acc["run"], c["text"]).alias("run"))
-        ends = F.struct(F.concat(settle(acc), c["text"]).alias("kept"), F.lit("").alias("run"))
-        return F.when(F.array_contains(gone, c["begin"]), more).otherwise(ends)
+    def rest(s: Column) -> Column:
+        begin = lambda k: F.coalesce(F.get(s["runs"], k - 1)["b"] + 1, F.lit(0))
+        end = lambda k: F.coalesce(F.get(s["runs"], k)["a"], F.size(s["text"]))
+        kept = F.transform(F.sequence(F.lit(0), F.size(s["runs"])), lambda k: F.concat_ws("", F.slice(s["text"], begin(k) + 1, end(k) - begin(k))))
+        return F.concat_ws("", kept)
 
-    return F.aggregate(chunks, start, step, settle)
+    return let(let(let(chunks, flags), runs), rest)
 
 
-def repeated_chunks(docs: DataFrame, key: list[Column]) -> DataFrame:
-    """(a, b, begins): for each document, by its two-part key, where its repeated chunks begin."""
-    a, b = key
-    chunks = docs.filter("text <> ''").select(F.col("doc_id"), a.alias("a"), b.alias("b"), F.explode(chunks_of(lines_of(F.col("text")))).alias("c"))
-    chunks = chunks.select("doc_id", "a", "b", "c.begin", "c.text", F.xxhash64("c.text").alias("h"), F.xxhash64(F.lit(1), "c.text").alias("g"))
-    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "a", "b", "begin")
-    hashes = chunks.groupBy("h", "g").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).filter("n > 1").select("h", "g", F.col("first.a").alias("fa"), F.col("first.b").alias("fb"), F.col("first.begin").alias("fbegin"))
-    found = chunks.select("a", "b", "begin", "text", "h", "g").join(hashes, ["h", "g"])
-    found = staged(found.withColumn("is_first", (F.col("a") == F.col("fa")) & (F.col("b") == F.col("fb")) & (F.col("begin") == F.col("fbegin"))).drop("fa", "fb", "fbegin"), "repeats")
-    firsts = found.filter("is_first").groupBy("h", "g").agg(F.first("text").alias("same"))
-    same = found.filter("not is_first").join(firsts, ["h", "g"]).filter("text = same")
-    return same.groupBy("a", "b").agg(F.collect_set("begin").alias("begins"))
+def repeated_chunks(docs: DataFrame) -> DataFrame:
+    """__doc, __a, marks: for each document that has any, its repeated chunks as (begin, h, is_first); __a hashes the text."""
+    chunks = docs.filter("text <> ''").select("doc_id", F.xxhash64("text").alias("a"), F.explode(chunk_hashes(F.col("text"))).alias("c"))
+    chunks = staged(chunks.select("doc_id", "a", "c.begin", "c.h"), "chunks")
+    place = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "a", "begin")
+    hashes = chunks.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).filter("n > 1").select("h", "first")
+    found = chunks.join(hashes, "h").withColumn("is_first", F.col("first") == place)
+    return staged(found.groupBy(F.col("doc_id").alias("__doc"), F.col("a").alias("__a")).agg(F.collect_set(F.struct("begin", "h", "is_first")).alias("marks")), "marks")
 
 
 def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """docs with repeated passages of min_words words or more removed from `text`; other columns as they are."""
-    key = [F.xxhash64("doc_id", "text"), F.xxhash64(F.lit(2), "doc_id", "text")]
-    begins = repeated_chunks(docs.select("doc_id", "text"), key).select(F.col("a").alias("__a"), F.col("b").alias("__b"), F.col("begins").alias("__begins"))
-    marked = docs.withColumns({"__ka": key[0], "__kb": key[1]}).join(begins, (F.col("__ka") == F.col("__a")) & (F.col("__kb") == F.col("__b")), "left")
-    short = _without_runs(chunks_of(lines_of(F.col("text"))), F.col("__begins"), min_words)
-    text = F.when(F.col("__begins").isNull(), F.col("text")).otherwise(short)
-    return marked.withColumn("text", text).select(*(F.col(f"`{c}`") for c in docs.columns))
+    marks = repeated_chunks(docs.select("doc_id", "text"))
+    keyed = docs.withColumn("__text", F.xxhash64("text"))
+    here = F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__text") == F.col("__a"))
+
+    # the texts of first copies, by hash; then, for each document, the texts that its later copies must equal
+    own = F.map_from_entries(F.transform(F.filter("marks", lambda m: m["is_first"]), lambda m: F.struct(m["begin"], m["h"])))
+    firsts = keyed.join(marks.filter(F.exists("marks", lambda m: m["is_first"])), here).select(own.alias("own"), F.explode(chunks_of(F.col("text"))).alias("c"))
+    firsts = firsts.select(F.try_element_at("own", F.col("c.begin")).alias("h"), F.col("c.text").alias("same")).filter("h is not null").groupBy("h").agg(F.first("same").alias("same"))
+    later = marks.select("__doc", "__a", F.explode("marks").alias("m")).filter("not m.is_first").select("__doc", "__a", "m.begin", "m.h")
+    same = later.join(firsts, "h").groupBy("__doc", "__a").agg(F.map_from_entries(F.collect_list(F.struct("begin", "same"))).alias("__same"))
+
+    text = F.when(F.col("__same").isNull(), F.col("text")).otherwise(without_runs(chunks_of(F.col("text")), F.col("__same"), min_words))
+    return keyed.join(same, here, "left").withColumn("text", text).select(*(F.col(f"`{c}`") for c in docs.columns))

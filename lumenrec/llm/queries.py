@@ -14,7 +14,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import line_dedup
 
-    return line_dedup(_table(spark, sf_dir, "documents")).select("doc_id", "text")
+    return line_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
