@@ -71,7 +71,7 @@ def split_list(c: Column, separator: str = ", ") -> Column:
 # --- a row as text ----------------------------------------------------------
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _python_repr(x):  # numbers that Spark and Python print in different ways
     return x.map(lambda v: None if v is None or v != v else repr(float(v)))
 

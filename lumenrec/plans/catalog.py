@@ -189,22 +189,23 @@ def tokenize(spark, sf_dir):
 # --- vocabulary, indicators, vectors -------------------------------------------
 
 
-_genres = S.split_list(F.col("p_name"), " ")
+def _genres() -> Column:
+    return S.split_list(F.col("p_name"), " ")
 
 
 @query("SELECT DISTINCT unnest(string_split(p_name, ' ')) AS genre FROM part")
 def genre_vocab(spark, sf_dir):
-    return features.vocabulary(_parts(spark, sf_dir), _genres)
+    return features.vocabulary(_parts(spark, sf_dir), _genres())
 
 
 @query("SELECT p_partkey, " + ", ".join(f"CAST(list_contains(string_split(p_name, ' '), '{g}') AS INTEGER) AS {g}" for g in GENRES) + " FROM part")
 def onehot(spark, sf_dir):
-    return features.onehot(_parts(spark, sf_dir).select("p_partkey", "p_name"), _genres, GENRES).drop("p_name")
+    return features.onehot(_parts(spark, sf_dir).select("p_partkey", "p_name"), _genres(), GENRES).drop("p_name")
 
 
 @query("SELECT genre, count(*) AS cnt FROM (SELECT unnest(list_distinct(string_split(p_name, ' '))) AS genre FROM part) GROUP BY genre")
 def genre_counts(spark, sf_dir):
-    return features.genre_counts(_parts(spark, sf_dir), _genres)
+    return features.genre_counts(_parts(spark, sf_dir), _genres())
 
 
 @query("SELECT genre, count(*) AS cnt FROM (SELECT unnest(list_distinct(string_split(p_name, ' '))) AS genre FROM part) GROUP BY genre ORDER BY cnt DESC, genre DESC LIMIT 5")
