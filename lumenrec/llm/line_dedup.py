@@ -2,13 +2,15 @@
 
 A text is cut into lines; a line of more than LONG characters is cut again after
 each sentence, so that prose without line ends has lines too. A hash rolls over
-the hashes of two lines; where it falls on a multiple of DIVISOR, and before and
-after a long line, a chunk ends. The cuts depend on the lines around them only:
+the hashes of two lines; where it falls on a multiple of DIVISOR a chunk ends
+between them, and so before and after a long line. The cuts depend on the two lines only:
 what stands before or after a passage moves none of the cuts inside it.
 
 A chunk is repeated if an earlier one (by doc_id, then place) has the same hash
-and then, compared byte by byte, the same text. Runs of repeated chunks with at
-least `min_words` words are removed from the text; the first copy of everything
+and then, compared byte by byte, the same text. From a repeated chunk the
+comparison goes on into the chunks beside it, line by line, against what stands
+beside the first copy, so that a passage is found to its ends. Runs of repeated
+text with at least `min_words` words are removed; the first copy of everything
 stays. Shorter repeats, such as one common line, stay too.
 
 Hot chunks: counts and first places are aggregated before they are shuffled, and
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import staged
 
-LONG = 300
+LONG = 200
 DIVISOR = 2
 MIN_WORDS = 50
 
@@ -46,32 +48,37 @@ def lines_of(text: Column) -> Column:
 
     def lines(parts: Column) -> Column:
         last = F.size(parts) - 1
-        ended = F.transform(parts, lambda x, i: F.when(i < last, F.concat(x, F.lit("\n"))).otherwise(x))
+        ended = F.filter(F.transform(parts, lambda x, i: F.when(i < last, F.concat(x, F.lit("\n"))).otherwise(x)), lambda x: x != "")
         return F.flatten(F.transform(ended, lambda x: F.when(F.length(x) > LONG, F.split(x, r"(?<=[.!?] )")).otherwise(F.array(x))))
 
     return let(F.split(text, "\n"), lines)
 
 
-def _begins(hashes: Column, long: Column) -> Column:
-    """Numbers of the lines with which chunks begin."""
+def _begins(hashes: Column, ends: Column, long: Column) -> Column:
+    """Numbers of the lines with which chunks begin. ends: whether a line stands at the end of a line of the text.
+
+    A long line of the text, cut into sentences or not, begins a chunk, and so does what follows it.
+    """
 
     def begins(i: Column) -> Column:
-        rolled = F.xxhash64(F.get(hashes, i - 2), F.get(hashes, i - 1))
-        return (i == 0) | (F.pmod(rolled, F.lit(DIVISOR)) == 0) | F.get(long, i) | F.get(long, i - 1)
+        rolled = F.xxhash64(F.get(hashes, i - 1), F.get(hashes, i))
+        after = F.coalesce(F.get(ends, i - 1), F.lit(True))
+        cut = after & (~F.get(ends, i) | ~F.coalesce(F.get(ends, i - 2), F.lit(True)))
+        return (i == 0) | (F.pmod(rolled, F.lit(DIVISOR)) == 0) | cut | F.get(long, i) | F.get(long, i - 1)
 
     return F.filter(F.sequence(F.lit(0), F.size(hashes) - 1), begins)
 
 
 def _chunks(lines: Column, of: Callable[[Column, Column, Column], Column]) -> Column:
     """An array of of(lines' hashes, the slice's begin, its length) for each chunk."""
-    hashed = lambda x: F.struct(F.transform(x, lambda s: F.xxhash64(s)).alias("hash"), F.transform(x, lambda s: F.length(s) > LONG).alias("long"))
+    hashed = lambda x: F.struct(F.transform(x, lambda s: F.xxhash64(s)).alias("hash"), F.transform(x, lambda s: s.endswith("\n")).alias("ends"), F.transform(x, lambda s: F.length(s) > LONG).alias("long"))
 
     def cut(s: Column) -> Column:
         def each(begins: Column) -> Column:
             end = lambda k: F.coalesce(F.get(begins, k + 1), F.size(s["hash"]))
             return F.transform(begins, lambda b, k: of(s["hash"], b, end(k) - b))
 
-        return let(_begins(s["hash"], s["long"]), each)
+        return let(_begins(s["hash"], s["ends"], s["long"]), each)
 
     return let(hashed(lines), cut)
 
@@ -90,12 +97,50 @@ def words_in(text: Column) -> Column:
     return F.size(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
 
 
+def _fine(text: Column) -> Column:
+    return F.filter(F.split(text, r"(?<=\n)|(?<=[.!?] )"), lambda x: x != "")
+
+
+def _common(a: Column, b: Column) -> Column:
+    """How many first elements two arrays have in common."""
+    other = F.array_position(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y)), F.lit(False))
+    return F.when(other == 0, F.least(F.size(a), F.size(b))).otherwise(other.cast("int") - 1)
+
+
+def _segments(text: Column, after: Column, before: Column) -> Column:
+    """A chunk that is not repeated: the lines that the first copy also has after the chunk before, those it has before the one after, and the rest."""
+
+    def cut(lines: Column) -> Column:
+        def by(n: Column) -> Column:
+            m = F.least(_common(F.reverse(lines), F.reverse(_fine(before))), F.size(lines) - n)
+            part = lambda begin, size, gone: F.struct(F.concat_ws("", F.slice(lines, begin + 1, size)).alias("text"), F.lit(gone).alias("gone"))
+            return F.array(part(F.lit(0), n, True), part(n, F.size(lines) - n - m, False), part(F.size(lines) - m, m, True))
+
+        return let(_common(lines, _fine(after)), by)
+
+    return F.filter(let(_fine(text), cut), lambda x: x["text"] != "")
+
+
 def without_runs(chunks: Column, same: Column, min_words: int) -> Column:
-    """The text without runs of at least min_words words of chunks whose text is the one that `same` has for their begin."""
+    """The text without runs of at least min_words words that first copies have too.
+
+    same: for a chunk's begin the `text` of the first copy, and what stands `before` and `after` it there.
+    """
 
     def flags(c: Column) -> Column:
-        gone = F.transform(c, lambda x: F.coalesce(F.try_element_at(same, x["begin"]) == x["text"], F.lit(False)))
-        return F.struct(F.transform(c, lambda x: x["text"]).alias("text"), gone.alias("gone"))
+        first = F.transform(c, lambda x: F.try_element_at(same, x["begin"]))
+        return F.struct(c.alias("c"), F.transform(F.arrays_zip(c.alias("c"), first.alias("f")), lambda x: F.when(x["f"]["text"] == x["c"]["text"], x["f"])).alias("f"))
+
+    def extended(s: Column) -> Column:
+        def each(x: Column, k: Column) -> Column:
+            whole = F.array(F.struct(x["text"].alias("text"), F.lit(True).alias("gone")))
+            after, before = (F.coalesce(F.get(s["f"], k + d)[n], F.lit("")) for d, n in ((-1, "after"), (1, "before")))
+            alone = F.array(F.struct(x["text"].alias("text"), F.lit(False).alias("gone")))
+            beside = F.when((after == "") & (before == ""), alone).otherwise(_segments(x["text"], after, before))
+            return F.when(F.get(s["f"], k).isNotNull(), whole).otherwise(beside)
+
+        parts = F.flatten(F.transform(s["c"], each))
+        return let(parts, lambda p: F.struct(F.transform(p, lambda x: x["text"]).alias("text"), F.transform(p, lambda x: x["gone"]).alias("gone")))
 
     def runs(s: Column) -> Column:
         at = F.sequence(F.lit(0), F.size(s["gone"]) - 1)
@@ -112,7 +157,7 @@ def without_runs(chunks: Column, same: Column, min_words: int) -> Column:
         kept = F.transform(F.sequence(F.lit(0), F.size(s["runs"])), lambda k: F.concat_ws("", F.slice(s["text"], begin(k) + 1, end(k) - begin(k))))
         return F.concat_ws("", kept)
 
-    return let(let(let(chunks, flags), runs), rest)
+    return let(let(let(let(chunks, flags), extended), runs), rest)
 
 
 def repeated_chunks(docs: DataFrame) -> DataFrame:
@@ -131,10 +176,17 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     keyed = docs.withColumn("__text", F.xxhash64("text"))
     here = F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__text") == F.col("__a"))
 
-    # the texts of first copies, by hash; then, for each document, the texts that its later copies must equal
-    own = F.map_from_entries(F.transform(F.filter("marks", lambda m: m["is_first"]), lambda m: F.struct(m["begin"], m["h"])))
-    firsts = keyed.join(marks.filter(F.exists("marks", lambda m: m["is_first"])), here).select(own.alias("own"), F.explode(chunks_of(F.col("text"))).alias("c"))
-    firsts = firsts.select(F.try_element_at("own", F.col("c.begin")).alias("h"), F.col("c.text").alias("same")).filter("h is not null").groupBy("h").agg(F.first("same").alias("same"))
+    # the texts of first copies, by hash, with what stands beside a run of them; then, for each document, what its later copies must equal
+    own = F.map_from_entries(F.transform("marks", lambda m: F.struct(m["begin"], F.when(m["is_first"], m["h"]))))
+    firsts = keyed.join(marks.filter(F.exists("marks", lambda m: m["is_first"])), here).select(own.alias("own"), chunks_of(F.col("text")).alias("c"))
+    known = F.map_keys("own")
+
+    def beside(k: Column, d: int) -> Column:
+        x = F.get("c", k + d)
+        return F.when(F.array_contains(known, x["begin"]), F.lit("")).otherwise(F.coalesce(x["text"], F.lit("")))
+
+    first = F.transform("c", lambda x, k: F.struct(F.try_element_at("own", x["begin"]).alias("h"), F.struct(x["text"].alias("text"), beside(k, -1).alias("before"), beside(k, 1).alias("after")).alias("same")))
+    firsts = firsts.select(F.inline(F.filter(first, lambda x: x["h"].isNotNull()))).groupBy("h").agg(F.first("same").alias("same"))
     later = marks.select("__doc", "__a", F.explode("marks").alias("m")).filter("not m.is_first").select("__doc", "__a", "m.begin", "m.h")
     same = later.join(firsts, "h").groupBy("__doc", "__a").agg(F.map_from_entries(F.collect_list(F.struct("begin", "same"))).alias("__same"))
 
