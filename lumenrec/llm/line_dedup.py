@@ -178,7 +178,7 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     # the texts of first copies, by hash, with what stands beside a run of them; then, for each document, what its later copies must equal
     own = F.map_from_entries(F.transform("marks", lambda m: F.struct(m["begin"], F.when(m["is_first"], m["h"]))))
-    firsts = keyed.join(marks.filter(F.exists("marks", lambda m: m["is_first"])), here).select(own.alias("own"), chunks_of(F.col("text")).alias("c"))
+    firsts = keyed.select("doc_id", "text", "__text").join(marks.filter(F.exists("marks", lambda m: m["is_first"])), here).select(own.alias("own"), chunks_of(F.col("text")).alias("c"))
     known = F.map_keys("own")
 
     def beside(k: Column, d: int) -> Column:

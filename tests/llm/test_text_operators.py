@@ -20,8 +20,8 @@ DOCS = "doc_id long, text string"
 @pytest.fixture(scope="module")
 def odd(spark):
     """Nulls, empty and long texts, repeated rows, and further columns with names that operators use inside."""
-    rows = [(i, t, "x", 1, 2, 3) for i, t in ODD]
-    return spark.createDataFrame(rows, f"{DOCS}, u string, begin int, h int, part int")
+    rows = [(i, t, "x", 1, 2, 3, 4, 5) for i, t in ODD]
+    return spark.createDataFrame(rows, f"{DOCS}, u string, begin int, h int, part int, marks int, c int")
 
 
 def words(rng, n):
