@@ -4,7 +4,7 @@ Each language has a probability for every piece of the vocabulary. The
 probability of a word is the sum over all ways to cut it into pieces of the
 product of their probabilities, found by a forward pass along the word; a
 text's is the product over its words. Piece probabilities are learned by
-expectation maximisation (forward and backward sums) over the words of at most
+expectation maximisation (forward and backward sums) over the words of about
 SAMPLE documents of each language, chosen by a hash of their id; of each
 language the WORDS commonest words are used, with their counts.
 
@@ -162,14 +162,13 @@ def train(docs: DataFrame, usable: Column, vocabulary: str | None = None) -> tup
 
     names = pieces(vocabulary or vocabulary_path())
     labelled = docs.filter(usable).filter("lang is not null and text is not null")
-    place = Window.partitionBy("lang").orderBy("h", "doc_id")
-    ids = labelled.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).withColumn("k", F.row_number().over(place)).filter(F.col("k") <= SAMPLE)
-    # the hash that the last chosen document of a language has bounds them all; one row for each language
-    bounds = {r.lang: r.h for r in ids.groupBy("lang").agg(F.max("h").alias("h")).collect()}
-    if not bounds:
+    # of a language with n documents those with the least hashes, a share of SAMPLE / n; one number for each language
+    size = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not size:
         return [], np.zeros((len(names) + 1, 0)), names
-    limit = F.coalesce(*(F.when(F.col("lang") == x, F.lit(h)) for x, h in bounds.items()))
-    counts = labelled.filter(F.xxhash64("doc_id") <= limit).select(F.col("text").cast("string"), "lang").mapInArrow(_count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    share = F.coalesce(*(F.when(F.col("lang") == x, F.lit(min(1.0, SAMPLE / n))) for x, n in size.items()))
+    hashed = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    counts = labelled.filter(hashed < share).select(F.col("text").cast("string"), "lang").mapInArrow(_count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     top = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
     rows = counts.withColumn("k", F.row_number().over(top)).filter(F.col("k") <= WORDS).select("lang", "word", "n").toPandas()
     found = {lang: dict(zip(g.word, g.n.astype(float))) for lang, g in rows.groupby("lang")}
