@@ -2,7 +2,7 @@
 
 A text is cut into lines; a line of more than LONG characters is cut again after
 each sentence, so that prose without line ends has lines too. A hash rolls over
-the hashes of two lines; where it falls on a multiple of DIVISOR a chunk ends
+the hashes of two lines; one in DIVISOR of its values ends a chunk
 between them, and so before and after a long line. The cuts depend on the two lines only:
 what stands before or after a passage moves none of the cuts inside it.
 
@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from .common import staged
 
 LONG = 200
+#: Lines in a chunk on the average, a power of two.
 DIVISOR = 2
 MIN_WORDS = 50
 
@@ -43,54 +44,60 @@ def let(value: Column, then: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
-def lines_of(text: Column) -> Column:
-    """Lines with their ends; long ones by sentence. Joined they give the text again."""
+def _lines(text: Column) -> Column:
+    """line: the lines of a text without what parts them; hash; kind: 0 at the end of a line of the text, 1 for a sentence before it, 2 more for a long one.
 
-    def lines(parts: Column) -> Column:
-        last = F.size(parts) - 1
-        ended = F.filter(F.transform(parts, lambda x, i: F.when(i < last, F.concat(x, F.lit("\n"))).otherwise(x)), lambda x: x != "")
-        return F.flatten(F.transform(ended, lambda x: F.when(F.length(x) > LONG, F.split(x, r"(?<=[.!?] )")).otherwise(F.array(x))))
+    The pattern begins with the space, which is quicker to look for than a place between.
+    """
+    parts = F.transform(F.split(text, "\n"), lambda x: F.when(F.length(x) > LONG, F.split(x, " (?<=[.!?] )")).otherwise(F.array(x)))
+    long = lambda x: F.when(F.length(x) > LONG, 2).otherwise(0)
+    kind = lambda p: F.transform(p, lambda x, i: F.when(i < F.size(p) - 1, 1).otherwise(0) + long(x))
+    return let(parts, lambda p: let(F.flatten(p), lambda x: F.struct(x.alias("line"), F.transform(x, lambda s: F.xxhash64(s)).alias("hash"), F.flatten(F.transform(p, kind)).alias("kind"))))
 
-    return let(F.split(text, "\n"), lines)
 
+def _parted(s: Column) -> Column:
+    """The lines with what follows them: a space, a line end, after the last nothing."""
+    last = F.size(s["line"]) - 1
+    return F.transform(s["line"], lambda x, i: F.when(i == last, x).when(F.get(s["kind"], i) % 2 == 0, F.concat(x, F.lit("\n"))).otherwise(F.concat(x, F.lit(" "))))
 
-def _begins(hashes: Column, ends: Column, long: Column) -> Column:
-    """Numbers of the lines with which chunks begin. ends: whether a line stands at the end of a line of the text.
+
+def _begins(s: Column) -> Column:
+    """Numbers of the lines with which chunks begin.
 
     A long line of the text, cut into sentences or not, begins a chunk, and so does what follows it.
     """
 
     def begins(i: Column) -> Column:
-        rolled = F.xxhash64(F.get(hashes, i - 1), F.get(hashes, i))
-        after = F.coalesce(F.get(ends, i - 1), F.lit(True))
-        cut = after & (~F.get(ends, i) | ~F.coalesce(F.get(ends, i - 2), F.lit(True)))
-        return (i == 0) | (F.pmod(rolled, F.lit(DIVISOR)) == 0) | cut | F.get(long, i) | F.get(long, i - 1)
-
-    return F.filter(F.sequence(F.lit(0), F.size(hashes) - 1), begins)
+        rolled = F.get(s["hash"], i - 1).bitwiseXOR(F.shiftright(F.get(s["hash"], i), 8)).bitwiseAND(F.lit(DIVISOR - 1)) == 0
+        before, here = F.get(s["kind"], i - 1), F.get(s["kind"], i)
+        return (i == 0) | rolled | (here >= 2) | (before >= 2) | ((before == 0) & ((here == 1) | (F.get(s["kind"], i - 2) == 1)))
 
+    return F.filter(F.sequence(F.lit(0), F.size(s["hash"]) - 1), begins)
 
-def _chunks(lines: Column, of: Callable[[Column, Column, Column], Column]) -> Column:
-    """An array of of(lines' hashes, the slice's begin, its length) for each chunk."""
-    hashed = lambda x: F.struct(F.transform(x, lambda s: F.xxhash64(s)).alias("hash"), F.transform(x, lambda s: s.endswith("\n")).alias("ends"), F.transform(x, lambda s: F.length(s) > LONG).alias("long"))
 
-    def cut(s: Column) -> Column:
-        def each(begins: Column) -> Column:
-            end = lambda k: F.coalesce(F.get(begins, k + 1), F.size(s["hash"]))
-            return F.transform(begins, lambda b, k: of(s["hash"], b, end(k) - b))
+def _chunks(s: Column, of: Callable[[Column, Column], Column]) -> Column:
+    """An array of of(begin, how many lines) for each chunk."""
 
-        return let(_begins(s["hash"], s["ends"], s["long"]), each)
+    def each(begins: Column) -> Column:
+        end = lambda k: F.coalesce(F.get(begins, k + 1), F.size(s["hash"]))
+        return F.transform(begins, lambda b, k: of(b, end(k) - b))
 
-    return let(hashed(lines), cut)
+    return let(_begins(s), each)
 
 
 def chunk_hashes(text: Column) -> Column:
     """Array of (begin, h): where each chunk begins and the hash of its lines' hashes."""
-    return let(lines_of(text), lambda x: _chunks(x, lambda h, b, n: F.struct(b.alias("begin"), F.xxhash64(F.slice(h, b + 1, n)).alias("h"))))
+    return let(_lines(text), lambda s: _chunks(s, lambda b, n: F.struct(b.alias("begin"), F.xxhash64(F.slice(s["hash"], b + 1, n)).alias("h"))))
+
+
+def lines_of(text: Column) -> Column:
+    """Lines with their ends; long ones by sentence. Joined they give the text again."""
+    return let(_lines(text), _parted)
 
 
 def chunks_of(text: Column) -> Column:
     """Array of (begin, text) of the chunks."""
-    return let(lines_of(text), lambda x: _chunks(x, lambda h, b, n: F.struct(b.alias("begin"), F.concat_ws("", F.slice(x, b + 1, n)).alias("text"))))
+    return let(_lines(text), lambda s: let(_parted(s), lambda x: _chunks(s, lambda b, n: F.struct(b.alias("begin"), F.concat_ws("", F.slice(x, b + 1, n)).alias("text")))))
 
 
 def words_in(text: Column) -> Column:
