@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from .common import staged
 
 LONG = 200
+SHORT = 40
 #: Lines in a chunk on the average, a power of two.
 DIVISOR = 2
 MIN_WORDS = 50
@@ -85,9 +86,17 @@ def _chunks(s: Column, of: Callable[[Column, Column], Column]) -> Column:
     return let(_begins(s), each)
 
 
-def chunk_hashes(text: Column) -> Column:
-    """Array of (begin, h): where each chunk begins and the hash of its lines' hashes."""
-    return let(_lines(text), lambda s: _chunks(s, lambda b, n: F.struct(b.alias("begin"), F.xxhash64(F.slice(s["hash"], b + 1, n)).alias("h"))))
+def chunk_hashes(text: Column, short: int = 0) -> Column:
+    """Array of (begin, h): where each chunk begins and the hash of its lines' hashes; NULL for a single line shorter than `short`.
+
+    Short lines are found as a part of longer chunks and beside them, but do not start a search.
+    """
+
+    def each(s: Column) -> Callable[[Column, Column], Column]:
+        alone = lambda b, n: (n == 1) & (F.length(F.get(s["line"], b)) < short)
+        return lambda b, n: F.struct(b.alias("begin"), F.when(~alone(b, n), F.xxhash64(F.slice(s["hash"], b + 1, n))).alias("h"))
+
+    return let(_lines(text), lambda s: _chunks(s, each(s)))
 
 
 def lines_of(text: Column) -> Column:
@@ -154,10 +163,13 @@ def without_runs(chunks: Column, same: Column, min_words: int) -> Column:
         is_gone = lambda i: F.coalesce(F.get(s["gone"], i), F.lit(False))
         first = F.filter(at, lambda i: is_gone(i) & ~is_gone(i - 1))
         last = F.filter(at, lambda i: is_gone(i) & ~is_gone(i + 1))
-        size = lambda a, b: words_in(F.concat_ws("", F.slice(s["text"], a + 1, b - a + 1)))
-        long = F.filter(F.zip_with(first, last, lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda r: size(r["a"], r["b"]) >= min_words)
+        long = F.filter(F.zip_with(first, last, lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda r: let(F.concat_ws("", F.slice(s["text"], r["a"] + 1, r["b"] - r["a"] + 1)), enough))
         return F.struct(s["text"].alias("text"), long.alias("runs"))
 
+    def enough(run: Column) -> Column:
+        # the begin of a run nearly always settles it
+        return (F.length(run) >= 2 * min_words - 1) & ((words_in(F.substring(run, 1, 12 * min_words)) > min_words) | (words_in(run) >= min_words))
+
     def rest(s: Column) -> Column:
         begin = lambda k: F.coalesce(F.get(s["runs"], k - 1)["b"] + 1, F.lit(0))
         end = lambda k: F.coalesce(F.get(s["runs"], k)["a"], F.size(s["text"]))
@@ -167,10 +179,10 @@ def without_runs(chunks: Column, same: Column, min_words: int) -> Column:
     return let(let(let(let(chunks, flags), extended), runs), rest)
 
 
-def repeated_chunks(docs: DataFrame) -> DataFrame:
+def repeated_chunks(docs: DataFrame, short: int) -> DataFrame:
     """__doc, __a, marks: for each document that has any, its repeated chunks as (begin, h, is_first); __a hashes the text."""
-    chunks = docs.filter("text <> ''").select("doc_id", F.xxhash64("text").alias("a"), F.explode(chunk_hashes(F.col("text"))).alias("c"))
-    chunks = staged(chunks.select("doc_id", "a", "c.begin", "c.h"), "chunks")
+    chunks = docs.filter("text <> ''").select("doc_id", F.xxhash64("text").alias("a"), F.explode(chunk_hashes(F.col("text"), short)).alias("c"))
+    chunks = staged(chunks.select("doc_id", "a", "c.begin", "c.h").filter("h is not null"), "chunks")
     place = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "a", "begin")
     hashes = chunks.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).filter("n > 1").select("h", "first")
     found = chunks.join(hashes, "h").withColumn("is_first", F.col("first") == place)
@@ -179,7 +191,7 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
 
 def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """docs with repeated passages of min_words words or more removed from `text`; other columns as they are."""
-    marks = repeated_chunks(docs.select("doc_id", "text"))
+    marks = repeated_chunks(docs.select("doc_id", "text"), min(SHORT, 2 * min_words - 1))
     keyed = docs.withColumn("__text", F.xxhash64("text"))
     here = F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__text") == F.col("__a"))
 
