@@ -34,7 +34,8 @@ from pyspark.sql import functions as F
 from .common import staged
 
 LONG = 200
-SHORT = 40
+#: A sentence ends at a mark and a space after it, if so many characters before the mark are none.
+SENTENCE = 20
 #: Lines in a chunk on the average, a power of two.
 DIVISOR = 2
 MIN_WORDS = 50
@@ -48,9 +49,9 @@ def let(value: Column, then: Callable[[Column], Column]) -> Column:
 def _lines(text: Column) -> Column:
     """line: the lines of a text without what parts them; hash; kind: 0 at the end of a line of the text, 1 for a sentence before it, 2 more for a long one.
 
-    The pattern begins with the space, which is quicker to look for than a place between.
+    The pattern begins with the space, which is quicker to look for than a place between, and looks far back from a mark only.
     """
-    parts = F.transform(F.split(text, "\n"), lambda x: F.when(F.length(x) > LONG, F.split(x, " (?<=[.!?] )")).otherwise(F.array(x)))
+    parts = F.transform(F.split(text, "\n"), lambda x: F.when(F.length(x) > LONG, F.split(x, f" (?<=[.!?] )(?<=[^.!?]{{{SENTENCE}}}[.!?] )")).otherwise(F.array(x)))
     long = lambda x: F.when(F.length(x) > LONG, 2).otherwise(0)
     kind = lambda p: F.transform(p, lambda x, i: F.when(i < F.size(p) - 1, 1).otherwise(0) + long(x))
     return let(parts, lambda p: let(F.flatten(p), lambda x: F.struct(x.alias("line"), F.transform(x, lambda s: F.xxhash64(s)).alias("hash"), F.flatten(F.transform(p, kind)).alias("kind"))))
@@ -86,17 +87,9 @@ def _chunks(s: Column, of: Callable[[Column, Column], Column]) -> Column:
     return let(_begins(s), each)
 
 
-def chunk_hashes(text: Column, short: int = 0) -> Column:
-    """Array of (begin, h): where each chunk begins and the hash of its lines' hashes; NULL for a single line shorter than `short`.
-
-    Short lines are found as a part of longer chunks and beside them, but do not start a search.
-    """
-
-    def each(s: Column) -> Callable[[Column, Column], Column]:
-        alone = lambda b, n: (n == 1) & (F.length(F.get(s["line"], b)) < short)
-        return lambda b, n: F.struct(b.alias("begin"), F.when(~alone(b, n), F.xxhash64(F.slice(s["hash"], b + 1, n))).alias("h"))
-
-    return let(_lines(text), lambda s: _chunks(s, each(s)))
+def chunk_hashes(text: Column) -> Column:
+    """Array of (begin, h): where each chunk begins and the hash of its lines' hashes."""
+    return let(_lines(text), lambda s: _chunks(s, lambda b, n: F.struct(b.alias("begin"), F.xxhash64(F.slice(s["hash"], b + 1, n)).alias("h"))))
 
 
 def lines_of(text: Column) -> Column:
@@ -179,10 +172,10 @@ def without_runs(chunks: Column, same: Column, min_words: int) -> Column:
     return let(let(let(let(chunks, flags), extended), runs), rest)
 
 
-def repeated_chunks(docs: DataFrame, short: int) -> DataFrame:
+def repeated_chunks(docs: DataFrame) -> DataFrame:
     """__doc, __a, marks: for each document that has any, its repeated chunks as (begin, h, is_first); __a hashes the text."""
-    chunks = docs.filter("text <> ''").select("doc_id", F.xxhash64("text").alias("a"), F.explode(chunk_hashes(F.col("text"), short)).alias("c"))
-    chunks = staged(chunks.select("doc_id", "a", "c.begin", "c.h").filter("h is not null"), "chunks")
+    chunks = docs.filter("text <> ''").select("doc_id", F.xxhash64("text").alias("a"), F.explode(chunk_hashes(F.col("text"))).alias("c"))
+    chunks = staged(chunks.select("doc_id", "a", "c.begin", "c.h"), "chunks")
     place = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "a", "begin")
     hashes = chunks.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).filter("n > 1").select("h", "first")
     found = chunks.join(hashes, "h").withColumn("is_first", F.col("first") == place)
@@ -191,7 +184,7 @@ def repeated_chunks(docs: DataFrame, short: int) -> DataFrame:
 
 def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """docs with repeated passages of min_words words or more removed from `text`; other columns as they are."""
-    marks = repeated_chunks(docs.select("doc_id", "text"), min(SHORT, 2 * min_words - 1))
+    marks = repeated_chunks(docs.select("doc_id", "text"))
     keyed = docs.withColumn("__text", F.xxhash64("text"))
     here = F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__text") == F.col("__a"))
 
@@ -206,8 +199,10 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     first = F.transform("c", lambda x, k: F.struct(F.try_element_at("own", x["begin"]).alias("h"), F.struct(x["text"].alias("text"), beside(k, -1).alias("before"), beside(k, 1).alias("after")).alias("same")))
     firsts = firsts.select(F.inline(F.filter(first, lambda x: x["h"].isNotNull()))).groupBy("h").agg(F.first("same").alias("same"))
+    firsts = firsts.withColumn("most", words_in(F.col("same.text")) + words_in(F.col("same.before")) + words_in(F.col("same.after")))
     later = marks.select("__doc", "__a", F.explode("marks").alias("m")).filter("not m.is_first").select("__doc", "__a", "m.begin", "m.h")
-    same = later.join(firsts, "h").groupBy("__doc", "__a").agg(F.map_from_entries(F.collect_list(F.struct("begin", "same"))).alias("__same"))
+    same = later.join(firsts, "h").groupBy("__doc", "__a").agg(F.map_from_entries(F.collect_list(F.struct("begin", "same"))).alias("__same"), F.sum("most").alias("most"))
+    same = same.filter(F.col("most") >= min_words).drop("most")  # with fewer words no run can be long enough
 
     text = F.when(F.col("__same").isNull(), F.col("text")).otherwise(without_runs(chunks_of(F.col("text")), F.col("__same"), min_words))
     return keyed.join(same, here, "left").withColumn("text", text).select(*(F.col(f"`{c}`") for c in docs.columns))
