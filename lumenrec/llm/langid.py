@@ -57,23 +57,60 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_tables: dict[int, tuple[dict[str, int], np.ndarray, np.ndarray, np.ndarray]] = {}
+
+
+def _prefixes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all prefixes of some words, word x length, and their lengths."""
+    size = np.array([len(w) for w in words], np.int64)
+    codes = np.frombuffer("".join(words).encode("utf-32-le"), "<u4").astype(np.uint64)
+    wide = np.zeros((len(words), int(size.max(initial=0))), np.uint64)
+    row = np.repeat(np.arange(len(words)), size)
+    wide[row, np.arange(len(codes)) - np.repeat(np.cumsum(size) - size, size)] = codes * np.uint64(0xD6E8FEB86659FD93) + np.uint64(1)
+    out = np.zeros((len(words), wide.shape[1] + 1), np.uint64)
+    for t in range(wide.shape[1]):
+        out[:, t + 1] = out[:, t] * _BASE + wide[:, t]
+    return out, size
+
+
+def _table(vocabulary: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted hashes of the pieces, their numbers, and which low bits occur."""
+    known = _tables.get(id(vocabulary))
+    if known is None or known[0] is not vocabulary:
+        names = list(vocabulary)
+        prefix, size = _prefixes(names)
+        keys = prefix[np.arange(len(names)), size]
+        order = np.argsort(keys)
+        present = np.zeros(1 << 19, bool)
+        present[keys & np.uint64((1 << 19) - 1)] = True
+        known = _tables[id(vocabulary)] = (vocabulary, keys[order], np.array(list(vocabulary.values()))[order], present)
+    return known[1:]
+
+
 class Lattice:
     """All pieces of some words: arcs from a place in a word to a later one, by length and end."""
 
     def __init__(self, words: list[str], vocabulary: dict[str, int]) -> None:
-        self.n, self.size = len(words), np.array([len(w) + 1 for w in words])
-        rows: dict[tuple[int, int], tuple[list[int], list[int]]] = {}
+        self.n = len(words)
+        prefix, self.size = _prefixes([MARK + w for w in words])
+        keys, numbers, present = _table(vocabulary)
         unknown = len(vocabulary)  # a single letter that is no piece
-        for i, w in enumerate(words):
-            w = MARK + w
-            for end in range(1, len(w) + 1):
-                for begin in range(max(0, end - PIECE - 1), end):
-                    p = vocabulary.get(w[begin:end], unknown if end - begin == 1 else -1)
-                    if p >= 0:
-                        at = rows.setdefault((end, begin), ([], []))
-                        at[0].append(i)
-                        at[1].append(p)
-        self.arcs = [(end, begin, np.array(a), np.array(b)) for (end, begin), (a, b) in sorted(rows.items())]
+        power = np.array([pow(int(_BASE), n, 1 << 64) for n in range(PIECE + 2)], np.uint64)
+        self.arcs = []
+        for end in range(1, prefix.shape[1]):
+            long = np.flatnonzero(self.size >= end)
+            for begin in range(max(0, end - PIECE - 1), end):
+                h = prefix[long, end] - prefix[long, begin] * power[end - begin]
+                maybe = np.flatnonzero(present[h & np.uint64(len(present) - 1)])
+                at = np.minimum(np.searchsorted(keys, h[maybe]), len(keys) - 1)
+                same = keys[at] == h[maybe]
+                if end - begin == 1:
+                    piece = np.full(len(long), unknown)
+                    piece[maybe[same]] = numbers[at[same]]
+                    self.arcs.append((end, begin, long, piece))
+                elif same.any():
+                    self.arcs.append((end, begin, long[maybe[same]], numbers[at[same]]))
 
     def forward(self, p: np.ndarray) -> np.ndarray:
         """p: piece x language. Sums over all segmentations up to each place: word x place x language."""
@@ -128,7 +165,7 @@ class Scorer:
         self.rows = np.concatenate([self.rows, sums])
 
     def __call__(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        if len(self.number) > 300_000:
+        if len(self.number) > 500_000:
             self.number, self.rows = {}, self.rows[:0]
         parts = [_WORDS((t or "").lower()) for t in texts]
         new = sorted(set().union(*parts).difference(self.number))
