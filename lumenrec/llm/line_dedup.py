@@ -13,8 +13,9 @@ beside the first copy, so that a passage is found to its ends. Runs of repeated
 text with at least `min_words` words are removed; the first copy of everything
 stays. Shorter repeats, such as one common line, stay too.
 
-Hot chunks: counts and first places are aggregated before they are shuffled, and
-every join is a plain equi-join that can be split; no group is gathered. Hashes
+Hot chunks: counts and first places are aggregated before they are shuffled; the
+join that marks copies is a plain equi-join that can be split, and the one that
+brings their first copy's text is dealt into parts; no group is gathered. Hashes
 and places travel without text; texts are dealt by document, once where `docs`
 has no further columns, and of chunks only those that are repeated.
 
@@ -39,6 +40,8 @@ SENTENCE = 20
 #: Lines in a chunk on the average, a power of two.
 DIVISOR = 2
 MIN_WORDS = 50
+#: Copies of a chunk that are compared in one part.
+COPIES = 500
 
 
 def let(value: Column, then: Callable[[Column], Column]) -> Column:
@@ -177,9 +180,9 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     chunks = docs.filter("text <> ''").select("doc_id", F.xxhash64("text").alias("a"), F.explode(chunk_hashes(F.col("text"))).alias("c"))
     chunks = staged(chunks.select("doc_id", "a", "c.begin", "c.h"), "chunks")
     place = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "a", "begin")
-    hashes = chunks.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).filter("n > 1").select("h", "first")
-    found = chunks.join(hashes, "h").withColumn("is_first", F.col("first") == place)
-    return staged(found.groupBy(F.col("doc_id").alias("__doc"), F.col("a").alias("__a")).agg(F.collect_set(F.struct("begin", "h", "is_first")).alias("marks")), "marks")
+    hashes = chunks.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).filter("n > 1").select("h", "first", F.ceil(F.col("n") / COPIES).cast("int").alias("parts"))
+    found = chunks.join(staged(hashes, "hashes"), "h").withColumn("is_first", F.col("first") == place)
+    return staged(found.groupBy(F.col("doc_id").alias("__doc"), F.col("a").alias("__a")).agg(F.collect_set(F.struct("begin", "h", "is_first", "parts")).alias("marks")), "marks")
 
 
 def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -189,7 +192,7 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     here = F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__text") == F.col("__a"))
 
     # the texts of first copies, by hash, with what stands beside a run of them; then, for each document, what its later copies must equal
-    own = F.map_from_entries(F.transform("marks", lambda m: F.struct(m["begin"], F.when(m["is_first"], m["h"]))))
+    own = F.map_from_entries(F.transform("marks", lambda m: F.struct(m["begin"], F.when(m["is_first"], F.struct(m["h"].alias("h"), m["parts"].alias("parts"))))))
     firsts = keyed.select("doc_id", "text", "__text").join(marks.filter(F.exists("marks", lambda m: m["is_first"])), here).select(own.alias("own"), chunks_of(F.col("text")).alias("c"))
     known = F.map_keys("own")
 
@@ -197,11 +200,13 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         x = F.get("c", k + d)
         return F.when(F.array_contains(known, x["begin"]), F.lit("")).otherwise(F.coalesce(x["text"], F.lit("")))
 
-    first = F.transform("c", lambda x, k: F.struct(F.try_element_at("own", x["begin"]).alias("h"), F.struct(x["text"].alias("text"), beside(k, -1).alias("before"), beside(k, 1).alias("after")).alias("same")))
-    firsts = firsts.select(F.inline(F.filter(first, lambda x: x["h"].isNotNull()))).groupBy("h").agg(F.first("same").alias("same"))
+    first = F.transform("c", lambda x, k: F.struct(F.try_element_at("own", x["begin"])["h"].alias("h"), F.try_element_at("own", x["begin"])["parts"].alias("parts"), F.struct(x["text"].alias("text"), beside(k, -1).alias("before"), beside(k, 1).alias("after")).alias("same")))
+    firsts = firsts.select(F.inline(F.filter(first, lambda x: x["h"].isNotNull()))).groupBy("h").agg(F.first("same").alias("same"), F.first("parts").alias("parts"))
+    # the later copies of a chunk are dealt into parts, and its first copy goes to each of them
+    firsts = firsts.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
     firsts = firsts.withColumn("most", words_in(F.col("same.text")) + words_in(F.col("same.before")) + words_in(F.col("same.after")))
-    later = marks.select("__doc", "__a", F.explode("marks").alias("m")).filter("not m.is_first").select("__doc", "__a", "m.begin", "m.h")
-    same = later.join(firsts, "h").groupBy("__doc", "__a").agg(F.map_from_entries(F.collect_list(F.struct("begin", "same"))).alias("__same"), F.sum("most").alias("most"))
+    later = marks.select("__doc", "__a", F.explode("marks").alias("m")).filter("not m.is_first").select("__doc", "__a", "m.begin", "m.h", F.pmod(F.xxhash64("__doc", "__a"), F.col("m.parts")).cast("int").alias("part"))
+    same = later.join(firsts, ["h", "part"]).groupBy("__doc", "__a").agg(F.map_from_entries(F.collect_list(F.struct("begin", "same"))).alias("__same"), F.sum("most").alias("most"))
     same = same.filter(F.col("most") >= min_words).drop("most")  # with fewer words no run can be long enough
 
     text = F.when(F.col("__same").isNull(), F.col("text")).otherwise(without_runs(chunks_of(F.col("text")), F.col("__same"), min_words))
