@@ -1,23 +1,22 @@
-"""Line dedup: passages that are repeated across the corpus, found by content-defined chunks of lines. Native Spark only.
-
-A text is cut into lines; a line of more than LONG characters is cut again after
-each sentence, so that prose without line ends has lines too. A hash rolls over
-the hashes of two lines; one in DIVISOR of its values ends a chunk
-between them, and so before and after a long line. The cuts depend on the two lines only:
-what stands before or after a passage moves none of the cuts inside it.
-
-A chunk is repeated if an earlier one (by doc_id, then place) has the same hash
-and then, compared byte by byte, the same text. From a repeated chunk the
-comparison goes on into the chunks beside it, line by line, against what stands
-beside the first copy, so that a passage is found to its ends. Runs of repeated
-text with at least `min_words` words are removed; the first copy of everything
-stays. Shorter repeats, such as one common line, stay too.
-
-Hot chunks: counts and first places are aggregated before they are shuffled; the
+"""Line dedup: passages that are repeated across the corpus, found by every pair of adjacent lines. Native Spark only.
+
+A text is cut into lines and these after each sentence; blank lines go with the
+line before them. Seeds are all pairs of adjacent lines, with what parts them, and
+each line that has `min_words` words by itself. A seed depends on nothing that
+stands before or after it, so a passage of whole lines or sentences has the same
+seeds wherever it stands, its first and last line included.
+
+A seed is repeated if an earlier one (by doc_id, then place) has the same hash.
+Seeds that follow each other in both places are one segment, whose text is then
+compared byte by byte with that at the first copy. Runs of repeated text with at
+least `min_words` words are removed; the first copy of everything stays. Shorter
+repeats, such as one common line, stay too, and so do common lines in a new order.
+
+Hot seeds: counts and first places are aggregated before they are shuffled; the
 join that marks copies is a plain equi-join that can be split, and the one that
-brings their first copy's text is dealt into parts; no group is gathered. Hashes
-and places travel without text; texts are dealt by document, once where `docs`
-has no further columns, and of chunks only those that are repeated.
+brings a segment's text is dealt into parts; no group is gathered. Hashes and
+places travel without text; texts are dealt by document, once where `docs` has no
+further columns, and of them only segments that are repeated.
 
 Odd input: null text stays null and is no line; an empty text stays; rows of the
 same doc_id and text are one document, and either keeps what the other keeps; a
@@ -29,18 +28,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import staged
 
-LONG = 200
 #: A sentence ends at a mark and a space after it, if so many characters before the mark are none.
 SENTENCE = 20
-#: Lines in a chunk on the average, a power of two.
-DIVISOR = 2
 MIN_WORDS = 50
-#: Copies of a chunk that are compared in one part.
+#: Copies of a segment that are compared in one part.
 COPIES = 500
 
 
@@ -50,163 +46,144 @@ def let(value: Column, then: Callable[[Column], Column]) -> Column:
 
 
 def _lines(text: Column) -> Column:
-    """line: the lines of a text without what parts them; hash; kind: 0 at the end of a line of the text, 1 for a sentence before it, 2 more for a long one.
+    """line: the lines and sentences of a text without what parts them; kind: 0 at the end of a line of the text, 1 for a sentence before it.
 
-    The pattern begins with the space, which is quicker to look for than a place between, and looks far back from a mark only.
+    The pattern begins with the space, which is quicker to look for than a place between, and looks back from a mark only.
     """
-    parts = F.transform(F.split(text, "\n"), lambda x: F.when(F.length(x) > LONG, F.split(x, f" (?<=[.!?] )(?<=[^.!?]{{{SENTENCE}}}[.!?] )")).otherwise(F.array(x)))
-    long = lambda x: F.when(F.length(x) > LONG, 2).otherwise(0)
-    kind = lambda p: F.transform(p, lambda x, i: F.when(i < F.size(p) - 1, 1).otherwise(0) + long(x))
-    return let(parts, lambda p: let(F.flatten(p), lambda x: F.struct(x.alias("line"), F.transform(x, lambda s: F.xxhash64(s)).alias("hash"), F.flatten(F.transform(p, kind)).alias("kind"))))
+    parts = F.transform(F.split(text, "\n"), lambda x: F.split(x, f" (?<=[.!?] )(?<=[^.!?]{{{SENTENCE}}}[.!?] )"))
+    kind = lambda p: F.transform(p, lambda x, i: F.when(i < F.size(p) - 1, 1).otherwise(0))
+    return let(parts, lambda p: F.struct(F.flatten(p).alias("line"), F.flatten(F.transform(p, kind)).alias("kind")))
 
 
 def _parted(s: Column) -> Column:
     """The lines with what follows them: a space, a line end, after the last nothing."""
     last = F.size(s["line"]) - 1
-    return F.transform(s["line"], lambda x, i: F.when(i == last, x).when(F.get(s["kind"], i) % 2 == 0, F.concat(x, F.lit("\n"))).otherwise(F.concat(x, F.lit(" "))))
+    return F.transform(s["line"], lambda x, i: F.when(i == last, x).when(F.get(s["kind"], i) == 0, F.concat(x, F.lit("\n"))).otherwise(F.concat(x, F.lit(" "))))
 
 
 def _begins(s: Column) -> Column:
-    """Numbers of the lines with which chunks begin.
-
-    A long line of the text, cut into sentences or not, begins a chunk, and so does what follows it.
-    """
-
-    def begins(i: Column) -> Column:
-        rolled = F.get(s["hash"], i - 1).bitwiseXOR(F.shiftright(F.get(s["hash"], i), 8)).bitwiseAND(F.lit(DIVISOR - 1)) == 0
-        before, here = F.get(s["kind"], i - 1), F.get(s["kind"], i)
-        return (i == 0) | rolled | (here >= 2) | (before >= 2) | ((before == 0) & ((here == 1) | (F.get(s["kind"], i - 2) == 1)))
+    """Numbers of the lines that are not blank, and of the first."""
+    return F.filter(F.sequence(F.lit(0), F.size(s["line"]) - 1), lambda i: (i == 0) | F.get(s["line"], i).rlike(r"\S"))
 
-    return F.filter(F.sequence(F.lit(0), F.size(s["hash"]) - 1), begins)
 
+def seeds_of(text: Column, min_words: int = MIN_WORDS) -> Column:
+    """Array of (at, h): of the k-th line that is not blank, at 2 k + 1 the hash of it and the next one, at 2 k that of itself if it has min_words words."""
 
-def _chunks(s: Column, of: Callable[[Column, Column], Column]) -> Column:
-    """An array of of(begin, how many lines) for each chunk."""
+    def hashed(s: Column) -> Column:
+        def each(b: Column, hashes: Column) -> Column:
+            def pair(i: Column, k: Column) -> Column:
+                j = F.get(b, k + 1)
+                near = F.xxhash64(F.get(hashes, i), F.get(s["kind"], i), F.get(hashes, j))
+                far = F.xxhash64(F.slice(hashes, i + 1, j - i + 1), F.slice(s["kind"], i + 1, j - i))
+                return F.struct((2 * k + 1).alias("at"), F.when(j == i + 1, near).when(j.isNotNull(), far).alias("h"))
 
-    def each(begins: Column) -> Column:
-        end = lambda k: F.coalesce(F.get(begins, k + 1), F.size(s["hash"]))
-        return F.transform(begins, lambda b, k: of(b, end(k) - b))
+            def single(i: Column, k: Column) -> Column:
+                line = F.get(s["line"], i)
+                whole = (F.length(line) >= 2 * min_words - 1) & (words_in(line) >= min_words)
+                return F.struct((2 * k).alias("at"), F.when(whole, F.xxhash64(F.get(hashes, i))).alias("h"))
 
-    return let(_begins(s), each)
+            return F.filter(F.concat(F.transform(b, pair), F.transform(b, single)), lambda x: x["h"].isNotNull())
 
+        return let(_begins(s), lambda b: let(F.transform(s["line"], lambda x: F.xxhash64(x)), lambda hashes: each(b, hashes)))
 
-def chunk_hashes(text: Column) -> Column:
-    """Array of (begin, h): where each chunk begins and the hash of its lines' hashes."""
-    return let(_lines(text), lambda s: _chunks(s, lambda b, n: F.struct(b.alias("begin"), F.xxhash64(F.slice(s["hash"], b + 1, n)).alias("h"))))
+    return let(_lines(text), hashed)
 
 
 def lines_of(text: Column) -> Column:
-    """Lines with their ends; long ones by sentence. Joined they give the text again."""
+    """Lines and sentences with their ends. Joined they give the text again."""
     return let(_lines(text), _parted)
 
 
 def chunks_of(text: Column) -> Column:
-    """Array of (begin, text) of the chunks."""
-    return let(_lines(text), lambda s: let(_parted(s), lambda x: _chunks(s, lambda b, n: F.struct(b.alias("begin"), F.concat_ws("", F.slice(x, b + 1, n)).alias("text")))))
+    """Array of (begin, line, text) of the lines that are not blank: text with all that follows up to the next one."""
 
+    def each(s: Column, x: Column) -> Column:
+        def of(b: Column) -> Column:
+            end = lambda k: F.coalesce(F.get(b, k + 1), F.size(x))
+            return F.transform(b, lambda i, k: F.struct(i.alias("begin"), F.get(s["line"], i).alias("line"), F.when(end(k) == i + 1, F.get(x, i)).otherwise(F.concat_ws("", F.slice(x, i + 1, end(k) - i))).alias("text")))
 
-def words_in(text: Column) -> Column:
-    return F.size(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
+        return let(_begins(s), of)
 
+    return let(_lines(text), lambda s: let(_parted(s), lambda x: each(s, x)))
 
-def _fine(text: Column) -> Column:
-    return F.filter(F.split(text, r"(?<=\n)|(?<=[.!?] )"), lambda x: x != "")
 
+def words_in(text: Column) -> Column:
+    return F.size(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
 
-def _common(a: Column, b: Column) -> Column:
-    """How many first elements two arrays have in common."""
-    other = F.array_position(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y)), F.lit(False))
-    return F.when(other == 0, F.least(F.size(a), F.size(b))).otherwise(other.cast("int") - 1)
-
-
-def _segments(text: Column, after: Column, before: Column) -> Column:
-    """A chunk that is not repeated: the lines that the first copy also has after the chunk before, those it has before the one after, and the rest."""
-
-    def cut(lines: Column) -> Column:
-        def by(n: Column) -> Column:
-            m = F.least(_common(F.reverse(lines), F.reverse(_fine(before))), F.size(lines) - n)
-            part = lambda begin, size, gone: F.struct(F.concat_ws("", F.slice(lines, begin + 1, size)).alias("text"), F.lit(gone).alias("gone"))
-            return F.array(part(F.lit(0), n, True), part(n, F.size(lines) - n - m, False), part(F.size(lines) - m, m, True))
-
-        return let(_common(lines, _fine(after)), by)
 
-    return F.filter(let(_fine(text), cut), lambda x: x["text"] != "")
+def _segment(chunks: Column, begin: Column, n: Column) -> Column:
+    """The text of n chunks, without what follows the last."""
+    return F.concat_ws("", F.transform(F.slice(chunks, begin + 1, n - 1), lambda x: x["text"]), F.get(chunks, begin + n - 1)["line"])
 
 
 def without_runs(chunks: Column, same: Column, min_words: int) -> Column:
     """The text without runs of at least min_words words that first copies have too.
 
-    same: for a chunk's begin the `text` of the first copy, and what stands `before` and `after` it there.
+    same: array of (begin, n, text), the first copy's text for n chunks from begin on.
     """
 
-    def flags(c: Column) -> Column:
-        first = F.transform(c, lambda x: F.try_element_at(same, x["begin"]))
-        return F.struct(c.alias("c"), F.transform(F.arrays_zip(c.alias("c"), first.alias("f")), lambda x: F.when(x["f"]["text"] == x["c"]["text"], x["f"])).alias("f"))
-
-    def extended(s: Column) -> Column:
-        def each(x: Column, k: Column) -> Column:
-            whole = F.array(F.struct(x["text"].alias("text"), F.lit(True).alias("gone")))
-            after, before = (F.coalesce(F.get(s["f"], k + d)[n], F.lit("")) for d, n in ((-1, "after"), (1, "before")))
-            alone = F.array(F.struct(x["text"].alias("text"), F.lit(False).alias("gone")))
-            beside = F.when((after == "") & (before == ""), alone).otherwise(_segments(x["text"], after, before))
-            return F.when(F.get(s["f"], k).isNotNull(), whole).otherwise(beside)
-
-        parts = F.flatten(F.transform(s["c"], each))
-        return let(parts, lambda p: F.struct(F.transform(p, lambda x: x["text"]).alias("text"), F.transform(p, lambda x: x["gone"]).alias("gone")))
-
-    def runs(s: Column) -> Column:
-        at = F.sequence(F.lit(0), F.size(s["gone"]) - 1)
-        is_gone = lambda i: F.coalesce(F.get(s["gone"], i), F.lit(False))
-        first = F.filter(at, lambda i: is_gone(i) & ~is_gone(i - 1))
-        last = F.filter(at, lambda i: is_gone(i) & ~is_gone(i + 1))
-        long = F.filter(F.zip_with(first, last, lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda r: let(F.concat_ws("", F.slice(s["text"], r["a"] + 1, r["b"] - r["a"] + 1)), enough))
-        return F.struct(s["text"].alias("text"), long.alias("runs"))
+    def runs(c: Column) -> Column:
+        equal = F.filter(same, lambda x: _segment(c, x["begin"], x["n"]) == x["text"])
+        places = F.array_sort(F.transform(equal, lambda x: F.struct(x["begin"].alias("a"), (x["begin"] + x["n"]).alias("b"))))
+        state = lambda done, a, b: F.struct(done.alias("done"), a.alias("a"), b.alias("b"))
+        last = lambda s: F.concat(s["done"], F.array(F.struct(s["a"].alias("a"), s["b"].alias("b"))))
+        merge = lambda s, x: F.when(x["a"] <= s["b"], state(s["done"], s["a"], F.greatest(s["b"], x["b"]))).otherwise(state(last(s), x["a"], x["b"]))
+        joined = F.aggregate(places, state(F.expr("cast(array() AS array<struct<a: int, b: int>>)"), F.lit(0), F.lit(0)), merge, last)
+        long = F.filter(joined, lambda r: let(text_of(c, r["a"], r["b"]), enough))
+        return F.struct(c.alias("c"), long.alias("runs"))
+
+    def text_of(c: Column, a: Column, b: Column) -> Column:
+        return F.concat_ws("", F.transform(F.slice(c, a + 1, b - a), lambda x: x["text"]))
 
     def enough(run: Column) -> Column:
         # the begin of a run nearly always settles it
         return (F.length(run) >= 2 * min_words - 1) & ((words_in(F.substring(run, 1, 12 * min_words)) > min_words) | (words_in(run) >= min_words))
 
     def rest(s: Column) -> Column:
-        begin = lambda k: F.coalesce(F.get(s["runs"], k - 1)["b"] + 1, F.lit(0))
-        end = lambda k: F.coalesce(F.get(s["runs"], k)["a"], F.size(s["text"]))
-        kept = F.transform(F.sequence(F.lit(0), F.size(s["runs"])), lambda k: F.concat_ws("", F.slice(s["text"], begin(k) + 1, end(k) - begin(k))))
+        begin = lambda k: F.coalesce(F.get(s["runs"], k - 1)["b"], F.lit(0))
+        end = lambda k: F.coalesce(F.get(s["runs"], k)["a"], F.size(s["c"]))
+        kept = F.transform(F.sequence(F.lit(0), F.size(s["runs"])), lambda k: text_of(s["c"], begin(k), end(k)))
         return F.concat_ws("", kept)
 
-    return let(let(let(let(chunks, flags), extended), runs), rest)
+    return let(let(chunks, runs), rest)
 
 
-def repeated_chunks(docs: DataFrame) -> DataFrame:
-    """__doc, __a, marks: for each document that has any, its repeated chunks as (begin, h, is_first); __a hashes the text."""
-    chunks = docs.filter("text <> ''").select("doc_id", F.xxhash64("text").alias("a"), F.explode(chunk_hashes(F.col("text"))).alias("c"))
-    chunks = staged(chunks.select("doc_id", "a", "c.begin", "c.h"), "chunks")
-    place = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "a", "begin")
-    hashes = chunks.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).filter("n > 1").select("h", "first", F.ceil(F.col("n") / COPIES).cast("int").alias("parts"))
-    found = chunks.join(staged(hashes, "hashes"), "h").withColumn("is_first", F.col("first") == place)
-    return staged(found.groupBy(F.col("doc_id").alias("__doc"), F.col("a").alias("__a")).agg(F.collect_set(F.struct("begin", "h", "is_first", "parts")).alias("marks")), "marks")
+def repeated_segments(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """doc, a, begin, n, f_doc, f_a, f_begin, parts: n chunks of a document from begin on whose seeds stand first in another place; a hashes the text."""
+    seeds = docs.filter("text <> ''").select("doc_id", F.xxhash64("text").alias("a"), F.explode(seeds_of(F.col("text"), min_words)).alias("s"))
+    seeds = staged(seeds.select(F.col("doc_id").alias("doc"), "a", "s.at", "s.h"), "seeds")
+    place = F.struct(F.col("doc").isNull().alias("null"), "doc", "a", "at")
+    hashes = seeds.groupBy("h").agg(F.count(F.lit(1)).alias("copies"), F.min(place).alias("f")).filter("copies > 1")
+    found = seeds.join(staged(hashes, "hashes"), "h").filter(F.col("f") != place)
+    found = found.select("doc", "a", "at", F.col("f.doc").alias("f_doc"), F.col("f.a").alias("f_a"), F.col("f.at").alias("f_at"), F.ceil(F.col("copies") / COPIES).cast("int").alias("parts"))
+    along = Window.partitionBy("doc", "a").orderBy(F.col("at") % 2, "at")
+    before = F.lag(F.struct("at", "f_doc", "f_a", "f_at")).over(along)
+    step = F.col("at") - before["at"]
+    goes_on = before["f_doc"].eqNullSafe(F.col("f_doc")) & (before["f_a"] == F.col("f_a")) & (step == F.col("f_at") - before["f_at"]) & (step <= F.col("at") % 2 * 2)
+    found = found.withColumn("new", F.when(goes_on, 0).otherwise(1)).withColumn("nth", F.sum("new").over(along))
+    one = found.groupBy("doc", "a", "nth").agg(F.min(F.struct("at", "f_at", "parts")).alias("x"), F.max("at").alias("last"), F.first("f_doc").alias("f_doc"), F.first("f_a").alias("f_a"))
+    half = lambda c: F.shiftright(c, 1)
+    n = half(F.col("last") - F.col("x.at")) + 1 + F.col("x.at") % 2
+    return staged(one.select("doc", "a", half(F.col("x.at")).alias("begin"), n.alias("n"), "f_doc", "f_a", half(F.col("x.f_at")).alias("f_begin"), "x.parts"), "segments")
 
 
 def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """docs with repeated passages of min_words words or more removed from `text`; other columns as they are."""
-    marks = repeated_chunks(docs.select("doc_id", "text"))
+    segments = repeated_segments(docs.select("doc_id", "text"), min_words)
     keyed = docs.withColumn("__text", F.xxhash64("text"))
     here = F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__text") == F.col("__a"))
 
-    # the texts of first copies, by hash, with what stands beside a run of them; then, for each document, what its later copies must equal
-    own = F.map_from_entries(F.transform("marks", lambda m: F.struct(m["begin"], F.when(m["is_first"], F.struct(m["h"].alias("h"), m["parts"].alias("parts"))))))
-    firsts = keyed.select("doc_id", "text", "__text").join(marks.filter(F.exists("marks", lambda m: m["is_first"])), here).select(own.alias("own"), chunks_of(F.col("text")).alias("c"))
-    known = F.map_keys("own")
-
-    def beside(k: Column, d: int) -> Column:
-        x = F.get("c", k + d)
-        return F.when(F.array_contains(known, x["begin"]), F.lit("")).otherwise(F.coalesce(x["text"], F.lit("")))
-
-    first = F.transform("c", lambda x, k: F.struct(F.try_element_at("own", x["begin"])["h"].alias("h"), F.try_element_at("own", x["begin"])["parts"].alias("parts"), F.struct(x["text"].alias("text"), beside(k, -1).alias("before"), beside(k, 1).alias("after")).alias("same")))
-    firsts = firsts.select(F.inline(F.filter(first, lambda x: x["h"].isNotNull()))).groupBy("h").agg(F.first("same").alias("same"), F.first("parts").alias("parts"))
-    # the later copies of a chunk are dealt into parts, and its first copy goes to each of them
-    firsts = firsts.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-    firsts = firsts.withColumn("most", words_in(F.col("same.text")) + words_in(F.col("same.before")) + words_in(F.col("same.after")))
-    later = marks.select("__doc", "__a", F.explode("marks").alias("m")).filter("not m.is_first").select("__doc", "__a", "m.begin", "m.h", F.pmod(F.xxhash64("__doc", "__a"), F.col("m.parts")).cast("int").alias("part"))
-    same = later.join(firsts, ["h", "part"]).groupBy("__doc", "__a").agg(F.map_from_entries(F.collect_list(F.struct("begin", "same"))).alias("__same"), F.sum("most").alias("most"))
+    # the texts that segments must equal, from the documents that hold them first
+    wanted = segments.groupBy(F.col("f_doc").alias("__doc"), F.col("f_a").alias("__a")).agg(F.collect_set(F.struct("f_begin", "n", "parts")).alias("__wanted"))
+    pieces = keyed.select("doc_id", "text", "__text").join(wanted, here).select("__doc", "__a", "__wanted", chunks_of(F.col("text")).alias("c"))
+    pieces = pieces.select(F.col("__doc").alias("f_doc"), F.col("__a").alias("f_a"), F.inline(F.transform("__wanted", lambda w: F.struct(w["f_begin"].alias("f_begin"), w["n"].alias("n"), w["parts"].alias("parts"), _segment(F.col("c"), w["f_begin"], w["n"]).alias("same")))))
+    pieces = pieces.groupBy("f_doc", "f_a", "f_begin", "n").agg(F.first("same").alias("same"), F.first("parts").alias("parts"))
+    # the later copies of a segment are dealt into parts, and its first copy goes to each of them
+    pieces = pieces.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts").withColumn("most", words_in(F.col("same")))
+    later = segments.withColumn("part", F.pmod(F.xxhash64("doc", "a"), F.col("parts")).cast("int")).drop("parts")
+    keys = [later[c].eqNullSafe(pieces[c]) for c in ("f_doc", "f_a", "f_begin", "n", "part")]
+    same = later.join(pieces, keys).select(later["doc"].alias("__doc"), later["a"].alias("__a"), later["begin"], later["n"], "same", "most")
+    same = same.groupBy("__doc", "__a").agg(F.collect_list(F.struct("begin", "n", F.col("same").alias("text"))).alias("__same"), F.sum("most").alias("most"))
     same = same.filter(F.col("most") >= min_words).drop("most")  # with fewer words no run can be long enough
 
     text = F.when(F.col("__same").isNull(), F.col("text")).otherwise(without_runs(chunks_of(F.col("text")), F.col("__same"), min_words))

@@ -139,6 +139,22 @@ def test_repeated_passages_go_and_clean_text_stays(spark):
         assert set(got[i].split()) >= set(text.split("\n")[0].split()) and got[i].endswith(text.split("\n")[-1])
 
 
+def test_passages_of_few_lines_go_whatever_stands_beside_them(spark):
+    rng = random.Random(11)
+    line = lambda n: " ".join(words(rng, n))
+    passages, docs = [], []
+    for i in range(60):
+        passage = "\n".join(line(19) for _ in range(3)) if i % 2 else line(55)
+        passages.append(passage)
+        docs += [(k * 100 + i, f"{line(15)}\n{line(12)}\n{passage}\n{line(13)}\n{line(9)}") for k in (0, 1)]
+    common = [line(4) for _ in range(20)]
+    shuffled = [(1000 + i, "\n\n".join(rng.sample(common, 20))) for i in range(3)]
+    got = {r.doc_id: r.text for r in line_dedup.line_dedup(spark.createDataFrame(docs + shuffled, DOCS)).collect()}
+    for i, passage in enumerate(passages):
+        assert got[i] == docs[2 * i][1] and got[100 + i] == docs[2 * i + 1][1].replace(passage + "\n", "")
+    assert all(got[i] == t for i, t in shuffled)
+
+
 def test_line_dedup_odd_input(spark, odd):
     got = line_dedup.line_dedup(odd, min_words=5)
     assert got.columns == odd.columns
