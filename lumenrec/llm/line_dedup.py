@@ -33,8 +33,6 @@ from pyspark.sql import functions as F
 
 from .common import staged
 
-#: A sentence ends at a mark and a space after it, if so many characters before the mark are none.
-SENTENCE = 20
 MIN_WORDS = 50
 #: Copies of a segment that are compared in one part.
 COPIES = 500
@@ -50,7 +48,7 @@ def _lines(text: Column) -> Column:
 
     The pattern begins with the space, which is quicker to look for than a place between, and looks back from a mark only.
     """
-    parts = F.transform(F.split(text, "\n"), lambda x: F.split(x, f" (?<=[.!?] )(?<=[^.!?]{{{SENTENCE}}}[.!?] )"))
+    parts = F.transform(F.split(text, "\n"), lambda x: F.split(x, " (?<=[.!?] )"))
     kind = lambda p: F.transform(p, lambda x, i: F.when(i < F.size(p) - 1, 1).otherwise(0))
     return let(parts, lambda p: F.struct(F.flatten(p).alias("line"), F.flatten(F.transform(p, kind)).alias("kind")))
 

@@ -155,6 +155,18 @@ def test_passages_of_few_lines_go_whatever_stands_beside_them(spark):
     assert all(got[i] == t for i, t in shuffled)
 
 
+def test_short_sentences_hide_no_passage(spark):
+    rng = random.Random(12)
+    prose = lambda *n: " ".join(" ".join(words(rng, k)) + "." for k in n)
+    docs, want = [], {}
+    for i in range(30):
+        passage = prose(11, 12, 1, 10, 11, 12)
+        docs += [(i, f"{prose(9, 14)} {passage} {prose(12, 10)}"), (100 + i, f"{prose(15, 1)} {passage} {prose(1, 14)}")]
+        want[100 + i] = docs[-1][1].replace(passage + " ", "")
+    got = {r.doc_id: r.text for r in line_dedup.line_dedup(spark.createDataFrame(docs, DOCS)).collect()}
+    assert all(got[i] == t for i, t in docs if i < 100) and {i: got[i] for i in want} == want
+
+
 def test_line_dedup_odd_input(spark, odd):
     got = line_dedup.line_dedup(odd, min_words=5)
     assert got.columns == odd.columns
