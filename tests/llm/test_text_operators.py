@@ -167,6 +167,19 @@ def test_short_sentences_hide_no_passage(spark):
     assert all(got[i] == t for i, t in docs if i < 100) and {i: got[i] for i in want} == want
 
 
+def test_copies_of_the_first_document_hide_no_passage(spark):
+    rng = random.Random(13)
+    prose = lambda *n: " ".join(" ".join(words(rng, k)) + "." for k in n)
+    docs, want = [], {}
+    for i in range(30):
+        passage = prose(11, 12, 10, 11, 12)
+        first = f"{prose(9, 14)} {passage} {prose(12, 10)}"
+        docs += [(i, first), (100 + i, first), (200 + i, f"{prose(15, 13)} {passage} {prose(11, 14)}")]
+        want |= {i: first, 100 + i: "", 200 + i: docs[-1][1].replace(passage + " ", "")}
+    got = {r.doc_id: r.text for r in line_dedup.line_dedup(spark.createDataFrame(docs, DOCS)).collect()}
+    assert got == want
+
+
 def test_line_dedup_odd_input(spark, odd):
     got = line_dedup.line_dedup(odd, min_words=5)
     assert got.columns == odd.columns
