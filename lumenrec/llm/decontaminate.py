@@ -4,23 +4,16 @@ Items and documents are sequences of words (lower case, letters and digits). An
 item-sized window of a document is a match if its word edit distance to the item
 is at most `edits` of the item's words.
 
-Candidates come from CGK embeddings: a random walk along a window copies the word
-it stands on and steps on by a bit that depends on the step and the word, which
-turns edits into few changed places. Of REPEATS walks a few places each are
-sampled and hashed; equal hashes make a candidate. Items are embedded from every
-word on, documents from every STRIDEth one, so a window that a document shares
-with an item meets an embedding of the item whatever its offset. Shorter
-documents and longer items cost no more: a walk reads the first words of its
-window only, and a long item has many windows, each a further chance.
-
-With one word in ten edited, an item of 40 words offers about ten windows and
-four walks through each, and is found with a probability of well over 0.9; whole
-copies are always found. Every candidate is verified by its exact distance.
+Candidates come from pieces: an item that may have e edits is cut into e + 1 pieces
+of about equal length, of which each edit touches one at most, so a match holds at
+least one piece as it is. Hashes of the pieces are looked up at every word of the
+documents. So every match is a candidate, whatever the item's length and the
+place of its edits; every candidate is verified by its exact distance.
 
 Items are taken to the workers in blocks of at most ITEMS; each block is a pass
 over the documents, so the memory does not grow with the benchmark.
 
-Odd input: items of fewer than 4 words match nothing; null texts hold no words;
+Odd input: items of fewer than 4 words match nothing, since they stand in texts by chance; null texts hold no words;
 equal rows get equal results; null ids are carried along; an empty table on
 either side gives no match; other columns are ignored or, where rows are
 filtered, kept.
@@ -38,74 +31,57 @@ from .common import documents_words, small_batches, table_of, utf8
 
 EDITS = 0.2
 ITEMS = 4096
-REPEATS, SAMPLED = 4, 5
-#: Words in a window, words between the windows of a document, steps of a walk; for items of so many words at least.
-SIZES = ((14, 12, 3, 16), (4, 4, 1, 6))
+#: Words of the shortest items, and of the longest pieces.
+LEAST, PIECE_WORDS = 4, 8
 
 _INSIDE, _VALUE = table_of({b for b in range(128) if not chr(b).isalnum()}, lower=False)
-_rng = np.random.Generator(np.random.PCG64(11))
-_STEPS = max(s[3] for s in SIZES)
-_COINS = _rng.integers(0, 1 << 64, (REPEATS, _STEPS), dtype=np.uint64) | np.uint64(1)
-_PLACES = {steps: [np.sort(_rng.choice(steps, SAMPLED, replace=False)) for _ in range(REPEATS)] for *_, steps in SIZES}
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def embeddings(words: np.ndarray, starts: np.ndarray, size: int, steps: int) -> Iterator[np.ndarray]:
-    """For each repetition the hashes of the sampled places of the windows' walks; every window has `size` words."""
-    for coins, places in zip(_COINS, _PLACES[steps]):
-        at, key = starts.copy(), np.zeros(len(starts), np.uint64)
-        end = starts + size - 1
-        wanted = set(places.tolist())
-        for t in range(int(places[-1]) + 1):
-            symbol = words[np.minimum(at, end)]
-            if t in wanted:
-                key = (key ^ symbol) * _MIX
-                key ^= key >> np.uint64(31)
-            at += (symbol * coins[t] >> np.uint64(63)).astype(np.int64)
-        yield key
+def hashes(words: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of the `size` words from each start on."""
+    key = np.zeros(len(starts), np.uint64)
+    for t in range(size):
+        key = (key ^ words[starts + t]) * _MIX
+        key ^= key >> np.uint64(31)
+    return key
 
 
 class Index:
-    """Embeddings of a block of items, by size of their windows."""
+    """Pieces of a block of items, by their length."""
 
-    def __init__(self, items: list[tuple[int, np.ndarray]]) -> None:
+    def __init__(self, items: list[tuple[int, np.ndarray]], edits: float) -> None:
         self.items = items
         self.tables = []
-        for least, size, stride, steps in SIZES:
-            most = min((s[0] for s in SIZES if s[0] > least), default=1 << 60)
-            mine = [i for i, (_, words) in enumerate(items) if least <= len(words) < most]
-            if not mine:
-                continue
-            flat = np.concatenate([items[i][1] for i in mine])
-            begin = np.concatenate([[0], np.cumsum([len(items[i][1]) for i in mine])])
-            item = np.repeat(mine, [len(items[i][1]) - size + 1 for i in mine])
-            offset = np.concatenate([np.arange(len(items[i][1]) - size + 1) for i in mine])
-            starts = offset + np.repeat(begin[:-1], [len(items[i][1]) - size + 1 for i in mine])
-            keyed = []
-            for key in embeddings(flat, starts, size, steps):
-                order = np.argsort(key, kind="stable")
-                bits = max(16, int(16 * len(key)).bit_length())
-                present = np.zeros(1 << bits, bool)
-                present[key & np.uint64((1 << bits) - 1)] = True
-                keyed.append((key[order], item[order], offset[order], present, np.uint64((1 << bits) - 1)))
-            self.tables.append((size, stride, steps, keyed))
+        pieces: dict[int, list[tuple[int, int]]] = {}
+        for i, (_, words) in enumerate(items):
+            n, count = len(words), int(edits * len(words)) + 1
+            if n >= LEAST:
+                pieces.setdefault(max(1, min(PIECE_WORDS, n // count)), []).extend((i, j * n // count) for j in range(count))
+        begin = np.concatenate([[0], np.cumsum([len(words) for _, words in items])]).astype(np.int64)
+        for size, mine in sorted(pieces.items()):
+            item, offset = np.array(mine, np.int64).T
+            key = hashes(np.concatenate([words for _, words in items]), begin[item] + offset, size)
+            order = np.argsort(key, kind="stable")
+            bits = max(16, int(16 * len(key)).bit_length())
+            present = np.zeros(1 << bits, bool)
+            present[key & np.uint64((1 << bits) - 1)] = True
+            self.tables.append((size, key[order], item[order], offset[order], present, np.uint64((1 << bits) - 1)))
 
     def candidates(self, words: np.ndarray, begin: np.ndarray) -> list[tuple[int, int, int]]:
         """(text, item, place in the text where the item would begin) for texts whose words follow each other."""
         found = set()
-        for size, stride, steps, keyed in self.tables:
-            counts = np.maximum((np.diff(begin) - size) // stride + 1, 0)
+        for size, keys, item, offset, present, low in self.tables:
+            counts = np.maximum(np.diff(begin) - size + 1, 0)
             if not counts.sum():
                 continue
             text = np.repeat(np.arange(len(counts)), counts)
-            nth = np.arange(len(text)) - np.repeat(np.cumsum(counts) - counts, counts)
-            starts = begin[:-1][text] + nth * stride
-            for key, (keys, item, offset, present, low) in zip(embeddings(words, starts, size, steps), keyed):
-                hit = np.flatnonzero(present[key & low])
-                left, right = np.searchsorted(keys, key[hit], "left"), np.searchsorted(keys, key[hit], "right")
-                for h, a, b in zip(hit[right > left].tolist(), left[right > left].tolist(), right[right > left].tolist()):
-                    place = int(nth[h]) * stride
-                    found.update((int(text[h]), int(item[k]), place - int(offset[k])) for k in range(a, b))
+            place = np.arange(len(text)) - np.repeat(np.cumsum(counts) - counts, counts)
+            key = hashes(words, begin[:-1][text] + place, size)
+            hit = np.flatnonzero(present[key & low])
+            left, right = np.searchsorted(keys, key[hit], "left"), np.searchsorted(keys, key[hit], "right")
+            for h, a, b in zip(hit[right > left].tolist(), left[right > left].tolist(), right[right > left].tolist()):
+                found.update((int(text[h]), int(item[k]), int(place[h]) - int(offset[k])) for k in range(a, b))
         return sorted(found)
 
 
@@ -132,7 +108,10 @@ def matches(index: Index, words: np.ndarray, begin: np.ndarray, edits: float) ->
             continue
         reached[text, i] = place + slack // 2  # nearby places are inside the stretch that is compared
         own = words[begin[text] : begin[text + 1]]
-        d = distance(item, own[max(0, place - slack) : place + len(item) + 2 * slack])
+        own = own[max(0, place - slack) : place + len(item) + 3 * slack]
+        if (own[:, None] == item).any(axis=1).sum() < len(item) - edits * len(item):
+            continue  # too few of its words
+        d = distance(item, own)
         if d <= edits * len(item) and d < best.get((text, i), 1 << 60):
             best[text, i] = d
     for (text, i), d in best.items():
@@ -144,17 +123,17 @@ def item_words(text: str | None) -> np.ndarray:
     return next((h for _, h, _ in documents_words(data, offsets, _INSIDE, _VALUE)), np.zeros(0, np.uint64))
 
 
-def _blocks(benchmark: DataFrame) -> Iterator[Index]:
+def _blocks(benchmark: DataFrame, edits: float) -> Iterator[Index]:
     """Indexes of at most ITEMS items each, one block of rows on the driver at a time."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     block: list[tuple[int, np.ndarray]] = []
     for row in items.toLocalIterator():
         block.append((row.item_id, item_words(row.text)))
         if len(block) == ITEMS:
-            yield Index(block)
+            yield Index(block, edits)
             block = []
     if block:
-        yield Index(block)
+        yield Index(block, edits)
 
 
 def _texts(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -168,7 +147,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS) -
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, item_id long, n_words long, n_edits long, similarity double"
     out = None
-    for index in _blocks(benchmark):
+    for index in _blocks(benchmark, edits):
         shared = spark.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -202,6 +181,6 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, edits: float = EDIT
     """The rows of docs without any benchmark item, all columns kept."""
     spark = docs.sparkSession
     small_batches(spark)
-    for index in _blocks(benchmark):
+    for index in _blocks(benchmark, edits):
         docs = docs.filter(_clean(spark.sparkContext.broadcast(index), edits)(F.col("text").cast("string")))
     return docs

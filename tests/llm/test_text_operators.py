@@ -225,6 +225,20 @@ def test_contamination_finds_copies_and_edits(spark, odd):
     assert decontaminate.contamination(odd, benchmark.limit(0)).count() == 0 and decontaminate.drop_contaminated(odd, benchmark).count() == len(ODD)
 
 
+def test_contamination_finds_every_edit_within_the_bound(spark):
+    rng = random.Random(10)
+    items = [(100 * n + k, words(rng, n)) for n in range(4, 41) for k in range(8)]
+    docs = []
+    for i, w in items:
+        w = list(w)
+        for j in sorted(rng.sample(range(len(w)), len(w) // 5), reverse=True):
+            w[j : j + 1] = rng.choice([["edited"], [], [w[j], "put"]])
+        docs.append((i, " ".join(words(rng, rng.randint(20, 40)) + w + words(rng, 30))))
+    benchmark = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contamination(spark.createDataFrame(docs, DOCS), benchmark).collect()}
+    assert {(i, i) for i, _ in items} <= got
+
+
 # --- pages ------------------------------------------------------------------------
 
 
