@@ -290,8 +290,10 @@ def kmeans_assign(spark, sf_dir):
 
 @query()
 def fuzzy_match(spark, sf_dir):
-    requests = spark.createDataFrame([("rde widget",), ("smal ring",), ("hott anvl",), ("gizmo old",), ("zzzz",)], "request string")
-    return fuzzy.close_titles(requests, _parts(spark, sf_dir).select(F.col("p_name").alias("title")))
+    """Requests are names with their first two letters swapped."""
+    name = F.col("p_name")
+    requests = _parts(spark, sf_dir).filter("p_partkey % 100 = 0").select(F.concat(F.substring(name, 2, 1), F.substring(name, 1, 1), F.substr(name, F.lit(3))).alias("request"))
+    return fuzzy.close_titles(requests, _parts(spark, sf_dir).select(name.alias("title")))
 
 
 @query()

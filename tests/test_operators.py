@@ -125,6 +125,18 @@ def test_fuzzy_as_the_standard_library(spark, request_, names):
     assert [r.title for r in got.orderBy("rank").collect()] == difflib.get_close_matches(request_, names)
 
 
+def test_fuzzy_query_asks_for_every_hundredth_name(spark, sf_dir):
+    from lumenrec.plans import catalog
+
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_name").collect()
+    names = [r.p_name for r in parts if r.p_name is not None]
+    asked = {r.p_name[1:2] + r.p_name[:1] + r.p_name[2:] for r in parts if r.p_partkey % 100 == 0 and r.p_name is not None}
+    got = {}
+    for r in catalog.fuzzy_match(spark, sf_dir).orderBy("request", "rank").collect():
+        got.setdefault(r.request, []).append(r.title)
+    assert asked and got == {a: found for a in asked if (found := difflib.get_close_matches(a, names))}
+
+
 def test_dialogues():
     run = lambda machine, state, events: [state := machine(state, *e)[0] for e in events]
     text, press = (lambda t: (t, None)), (lambda b: (None, b))
