@@ -188,7 +188,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: dict[str, Counter] = {}
     for batch in batches:
         for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            counts.setdefault(lang, Counter()).update(w[:LONGEST] for w in _WORDS((text or "").lower()))
+            counts.setdefault(lang, Counter()).update(w[i : i + LONGEST] for w in _WORDS((text or "").lower()) for i in range(0, len(w), LONGEST))
     for lang, c in counts.items():
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(c), pa.string()), pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], names=["lang", "word", "n"])
 

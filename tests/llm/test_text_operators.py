@@ -335,6 +335,13 @@ def test_languages(spark, sf_dir, odd):
     assert langid.languages(odd.withColumn("lang", F.lit("en")).limit(0)).count() == 0
 
 
+def test_training_counts_all_parts_of_long_words():
+    word = "ab" * 45 + "z"
+    batch = pa.RecordBatch.from_arrays([pa.array([f"x {word} x"]), pa.array(["en"])], names=["text", "lang"])
+    got = {w: n for b in langid._count([batch]) for w, n in zip(b.column(1).to_pylist(), b.column(2).to_pylist())}
+    assert got == {"x": 2, "ab" * 20: 2, "ababababab" + "z": 1}
+
+
 # --- tokens ---------------------------------------------------------------------------------
 
 
