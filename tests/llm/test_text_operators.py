@@ -279,6 +279,79 @@ def test_broken_markup_never_fails(page):
     assert isinstance(html_text.main_text(page), str)
 
 
+def test_articles_outrank_links_and_names_around_them():
+    long = "word " * 60
+    page = f"<article><h1>Title</h1><p>{long}</p><p><a>See the full list here</a></p><p>The end of the article.</p></article>"
+    assert html_text.main_text(page) == f"Title\n\n{long.strip()}\n\nSee the full list here\n\nThe end of the article."
+    assert html_text.main_text('<div class="legal notice"><article><p>It stays</p></article></div>') == "It stays"
+    assert html_text.main_text('<article><div class="post-header"><h1>A title</h1></div><header><p>By one</p></header><p>x</p></article>') == "A title\n\nBy one\n\nx"
+    assert html_text.main_text('<p>Site</p><article><p>x</p><p class="ad">buy</p><div class="share"><a>Tell</a> <a>all</a></div><p hidden>no</p><article class="comment"><p>a reader</p></article></article><div>end</div>') == "x"
+    assert html_text.main_text("<p>Only this</p><aside><article><p>More</p></article></aside>") == "Only this"
+
+
+def test_the_tree_needs_words_and_links():
+    x, y = html_text.labelled_table(html_text.PAGES, 1)
+    held_x, held_y = html_text.labelled_table(200, 2)
+    assert 500 < len(x) < 2000
+
+    def right(columns):
+        tree = html_text.Tree(x[:, columns], y)
+        return np.mean([(tree(r) >= 0.5) == label for r, label in zip(held_x[:, columns].tolist(), held_y)])
+
+    every, names = right(list(range(10))), right([6, 7, 8, 9])
+    assert every >= 0.98 and every - names >= 0.02
+
+
+@pytest.mark.parametrize("part", ["<a ", "<noscript>", '<a b="', "<a b='x>", "<!--", "<script>", "<svg><p>", "<div>", "</p>", "<section></div>", "<p class='ad", "& ", "<a href   "])
+def test_broken_pages_take_linear_time(part):
+    import time
+
+    began = time.process_time()
+    html_text.main_text(part * (1_000_000 // len(part)))
+    assert time.process_time() - began < 4
+
+
+def test_pages_odd_input(spark):
+    rows = [(1, "u", None, 1), (1, "u", "", 2), (None, None, "<p>a  b&eacute;", 3), (None, None, "<p>a  b&eacute;", 3), (2, "v", "<p>" + "x y " * 300_000, 4)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text int")
+    got = rows_of(html_text.extract_text(pages))
+    long = ("x y " * 300_000).strip()
+    assert got == sorted([(1, "u", "", 0), (1, "u", "", 0), (None, None, "a bé", 4), (None, None, "a bé", 4), (2, "v", long, len(long))], key=str)
+    assert html_text.extract_text(pages.limit(0)).count() == 0
+
+
+def test_pages_as_brute_force(spark, sf_dir):
+    """On the given pages the article is all that is main text; a plain parser reads it."""
+    from html.parser import HTMLParser
+
+    class Article(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.inside, self.out = False, [""]
+
+        def handle_starttag(self, tag, attrs):
+            self.inside |= tag == "article"
+            if tag in ("h1", "p"):
+                self.out.append("")
+            elif tag == "br":
+                self.out[-1] += " "
+
+        def handle_endtag(self, tag):
+            self.inside &= tag != "article"
+
+        def handle_data(self, data):
+            if self.inside:
+                self.out[-1] += data
+
+    def read(page):
+        parser = Article()
+        parser.feed(page)
+        return "\n\n".join(t for x in parser.out if (t := " ".join(x.split())))
+
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    assert {r.page_id: r.text for r in queries.op3_html_text(spark, sf_dir).collect()} == {r.page_id: read(r.html) for r in pages.collect()}
+
+
 def test_pages_query(spark, sf_dir):
     got = queries.op3_html_text(spark, sf_dir)
     assert got.count() == spark.read.parquet(f"{sf_dir}/pages.parquet").count() and got.columns[:4] == ["page_id", "url", "text", "n_chars"]
