@@ -3,14 +3,17 @@
 Each language has a probability for every piece of the vocabulary. The
 probability of a word is the sum over all ways to cut it into pieces of the
 product of their probabilities, found by a forward pass along the word; a
-text's is the product over its words. Piece probabilities are learned by
-expectation maximisation (forward and backward sums) over the words of about
-SAMPLE documents of each language, chosen by a hash of their id; of each
-language the WORDS commonest words are used, with their counts.
-
-Words are runs of letters, lower case, with the vocabulary's word-begin mark in
-front. Their language scores are remembered by a worker, so the forward pass
-runs once for a word, not once for each occurrence.
+text's is the product over its words. A pass is scaled as it goes, so that no
+word is too long for it. Piece probabilities are learned by expectation
+maximisation (forward and backward sums) over all words of about SAMPLE documents
+of each language, chosen by a hash of their id. Each round is a pass of the
+workers over the counted words; the driver sees a number for each piece and
+language.
+
+Words are runs of letters (by their Unicode category), lower case, with the
+vocabulary's word-begin mark in front. Their language scores are remembered by a
+worker, so the forward pass runs once for a word, not once for each occurrence.
+In learning, words of more than LONG letters are taken in parts of that length.
 
 Odd input: null texts and texts without a letter are `und` with score 0; a null
 lang is not learned from; ties go to the alphabetically first language; rows of
@@ -27,19 +30,28 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import discard, small_batches, staged
 from .toxicity import held_out
 
 SAMPLE = 2_000
-WORDS = 20_000
 ROUNDS = 4
 VOCABULARY = "piece_bpe_32k.model"
 MARK = "▁"
-#: Words of more letters than this are cut, so that a forward pass stays short; the pieces are shorter anyway.
-LONGEST = 40
-PIECE = 12
+#: Learning takes longer words in parts.
+LONG = 4096
+#: Letters of a block of words, and of a stretch of one long word, that are worked on at once.
+BLOCK = 60_000
+#: Words up to this length are summed without logarithms in learning; the least piece probabilities to this power are still numbers.
+SHORT = 24
+#: Sums below this are scaled up.
+TINY = 1e-100
+
+_RUNS = re.compile(r"[^\W\d_]+").findall
+
 
-_WORDS = re.compile(r"[^\W\d_]+").findall
+def letters(run: str) -> list[str]:
+    """The runs of letters of a word; numbers such as a half are no letters."""
+    return [run] if run.isalpha() else "".join(c if c.isalpha() else " " for c in run).split()
 
 
 def pieces(path: str) -> dict[str, int]:
@@ -48,7 +60,7 @@ def pieces(path: str) -> dict[str, int]:
 
     model = SentencePieceProcessor(model_file=path)
     found = {model.id_to_piece(i).lower() for i in range(model.get_piece_size())}
-    return {p: i for i, p in enumerate(sorted(p for p in found if p.lstrip(MARK).isalpha() and len(p) <= PIECE + 1))}
+    return {p: i for i, p in enumerate(sorted(p for p in found if p.lstrip(MARK).isalpha()))}
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -58,96 +70,146 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_tables: dict[int, tuple[dict[str, int], np.ndarray, np.ndarray, np.ndarray]] = {}
+_tables: dict[int, tuple] = {}
 
 
-def _prefixes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all prefixes of some words, word x length, and their lengths."""
+def _codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The letters of some words as numbers, place x word, and the words' lengths."""
     size = np.array([len(w) for w in words], np.int64)
     codes = np.frombuffer("".join(words).encode("utf-32-le"), "<u4").astype(np.uint64)
-    wide = np.zeros((len(words), int(size.max(initial=0))), np.uint64)
-    row = np.repeat(np.arange(len(words)), size)
-    wide[row, np.arange(len(codes)) - np.repeat(np.cumsum(size) - size, size)] = codes * np.uint64(0xD6E8FEB86659FD93) + np.uint64(1)
-    out = np.zeros((len(words), wide.shape[1] + 1), np.uint64)
-    for t in range(wide.shape[1]):
-        out[:, t + 1] = out[:, t] * _BASE + wide[:, t]
+    out = np.zeros((int(size.max(initial=0)), len(words)), np.uint64)
+    word = np.repeat(np.arange(len(words)), size)
+    out[np.arange(len(codes)) - np.repeat(np.cumsum(size) - size, size), word] = codes * np.uint64(0xD6E8FEB86659FD93) + np.uint64(1)
     return out, size
 
 
-def _table(vocabulary: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted hashes of the pieces, their numbers, and which low bits occur."""
+def _prefixes(codes: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(codes) + 1, codes.shape[1]), np.uint64)
+    for t in range(len(codes)):
+        out[t + 1] = out[t] * _BASE + codes[t]
+    return out
+
+
+def _table(vocabulary: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Sorted hashes of the pieces, their numbers, which low bits occur, and the longest piece."""
     known = _tables.get(id(vocabulary))
     if known is None or known[0] is not vocabulary:
-        names = list(vocabulary)
-        prefix, size = _prefixes(names)
-        keys = prefix[np.arange(len(names)), size]
+        codes, size = _codes(list(vocabulary))
+        keys = _prefixes(codes)[size, np.arange(len(size))]
         order = np.argsort(keys)
         present = np.zeros(1 << 19, bool)
         present[keys & np.uint64((1 << 19) - 1)] = True
-        known = _tables[id(vocabulary)] = (vocabulary, keys[order], np.array(list(vocabulary.values()))[order], present)
+        known = _tables[id(vocabulary)] = (vocabulary, keys[order], np.array(list(vocabulary.values()), np.int64)[order], present, int(size.max(initial=1)))
     return known[1:]
 
 
-class Lattice:
-    """All pieces of some words: arcs from a place in a word to a later one, by length and end."""
-
-    def __init__(self, words: list[str], vocabulary: dict[str, int]) -> None:
-        self.n = len(words)
-        prefix, self.size = _prefixes([MARK + w for w in words])
-        keys, numbers, present = _table(vocabulary)
-        unknown = len(vocabulary)  # a single letter that is no piece
-        power = np.array([pow(int(_BASE), n, 1 << 64) for n in range(PIECE + 2)], np.uint64)
-        self.arcs = []
-        for end in range(1, prefix.shape[1]):
-            long = np.flatnonzero(self.size >= end)
-            for begin in range(max(0, end - PIECE - 1), end):
-                h = prefix[long, end] - prefix[long, begin] * power[end - begin]
-                maybe = np.flatnonzero(present[h & np.uint64(len(present) - 1)])
-                at = np.minimum(np.searchsorted(keys, h[maybe]), len(keys) - 1)
-                same = keys[at] == h[maybe]
-                if end - begin == 1:
-                    piece = np.full(len(long), unknown)
-                    piece[maybe[same]] = numbers[at[same]]
-                    self.arcs.append((end, begin, long, piece))
-                elif same.any():
-                    self.arcs.append((end, begin, long[maybe[same]], numbers[at[same]]))
-
-    def forward(self, p: np.ndarray) -> np.ndarray:
-        """p: piece x language. Sums over all segmentations up to each place: word x place x language."""
-        out = np.zeros((self.n, int(self.size.max(initial=0)) + 1, p.shape[1]))
-        out[:, 0] = 1
-        for end, begin, word, piece in self.arcs:
-            out[word, end] += out[word, begin] * p[piece]
-        return out
-
-    def score(self, p: np.ndarray) -> np.ndarray:
-        """Logarithm of each word's probability, word x language."""
-        return np.log(self.forward(p)[np.arange(self.n), self.size])
-
-    def expected(self, p: np.ndarray, weight: np.ndarray) -> np.ndarray:
-        """How often each piece is used, over all segmentations by their share; weight: word x language."""
-        ahead = self.forward(p)
-        back = np.zeros_like(ahead)
-        back[np.arange(self.n), self.size] = 1
-        out = np.zeros_like(p)
-        total = ahead[np.arange(self.n), self.size]
-        for end, begin, word, piece in sorted(self.arcs, key=lambda a: (-a[0], -a[1])):
-            back[word, begin] += back[word, end] * p[piece]
-            np.add.at(out, piece, ahead[word, begin] * p[piece] * back[word, end] / total[word] * weight[word])
-        return out
-
-
-def learn(counts: dict[str, dict[str, float]], vocabulary: dict[str, int]) -> tuple[list[str], np.ndarray]:
-    """Languages and piece probabilities from word counts by language."""
-    langs = sorted(counts)
-    words = sorted({w for c in counts.values() for w in c})
-    weight = np.array([[counts[x].get(w, 0) for x in langs] for w in words], float)
-    p = np.full((len(vocabulary) + 1, len(langs)), 1 / (len(vocabulary) + 1))
-    blocks = [(Lattice(words[i : i + 2000], vocabulary), weight[i : i + 2000]) for i in range(0, len(words), 2000)]
-    for _ in range(ROUNDS):
-        used = sum(lattice.expected(p, w) for lattice, w in blocks) + 0.1
-        p = used / used.sum(axis=0)
-    return langs, p
+def arcs(codes: np.ndarray, valid: np.ndarray, vocabulary: dict[str, int]) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """All pieces in some words, by length: (length, bounds, word, piece); those that end after t letters are bounds[t] to bounds[t + 1].
+
+    valid: place x word, whether a word has such a place. Single letters that are no piece count as the piece after the last.
+    """
+    keys, numbers, present, longest = _table(vocabulary)
+    prefix, (n, width) = _prefixes(codes), codes.shape
+    out, power = [], 1
+    for length in range(1, min(longest, n) + 1):
+        power = power * int(_BASE) % (1 << 64)
+        h = (prefix[length:] - prefix[:-length] * np.uint64(power)).ravel()
+        maybe = np.flatnonzero(present[h & np.uint64(len(present) - 1)] & valid[length - 1 :].ravel())
+        at = np.minimum(np.searchsorted(keys, h[maybe]), len(keys) - 1)
+        same = keys[at] == h[maybe]
+        if length == 1:
+            found = np.flatnonzero(valid.ravel())
+            piece = np.full(len(h), len(vocabulary))
+            piece[maybe[same]] = numbers[at[same]]
+            piece = piece[found]
+        else:
+            found, piece = maybe[same], numbers[at[same]]
+        if len(found):
+            out.append((length, np.searchsorted(found, width * (np.arange(n + 2) - length)), found % width, piece))
+    return out
+
+
+def score(words: list[str], p: np.ndarray, vocabulary: dict[str, int]) -> np.ndarray:
+    """Logarithm of each word's probability, word x language; p: piece x language.
+
+    Only the sums of the last places are kept, and they are scaled up whenever they become small.
+    """
+    longest = _table(vocabulary)[3]
+    codes, size = _codes([MARK + w for w in words])
+    stretch, last = max(longest, BLOCK // len(words)), set(size.tolist())
+    out, scale = np.zeros((len(words), p.shape[1])), np.zeros((len(words), p.shape[1]))
+    sums = np.zeros((longest + stretch, len(words), p.shape[1]))
+    sums[longest - 1] = 1
+    for low in range(0, len(codes), stretch):
+        high = min(low + stretch, len(codes))
+        before = min(low, longest - 1)
+        part = codes[low - before : high]
+        inside = np.arange(low - before + 1, high + 1)[:, None] <= size
+        mine = arcs(part, inside, vocabulary)
+        if len(words) == 1:  # the arcs of one long word in a row, by their ends
+            ends = np.concatenate([np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)) for _, bounds, _, _ in mine])
+            order = np.argsort(ends, kind="stable")
+            lengths, numbers = np.concatenate([np.full(len(x), n) for n, _, _, x in mine])[order], np.concatenate([x for _, _, _, x in mine])[order]
+            first = np.searchsorted(ends[order], np.arange(len(part) + 2))
+        for t in range(low + 1, high + 1):
+            row, here = longest - 1 + t - low, t - low + before
+            if len(words) == 1:
+                some = slice(first[here], first[here + 1])
+                sums[row, 0] = (sums[row - lengths[some], 0] * p[numbers[some]]).sum(axis=0)
+            else:
+                sums[row] = 0
+                for length, bounds, word, piece in mine:
+                    if bounds[here] < bounds[here + 1]:
+                        w = word[bounds[here] : bounds[here + 1]]
+                        sums[row, w] += sums[row - length, w] * p[piece[bounds[here] : bounds[here + 1]]]
+            small = sums[row] < TINY
+            if small.any() and (small := small & (size >= t)[:, None]).any():
+                window = sums[max(row - longest + 1, 0) : row + 1]
+                window[:, small] /= TINY
+                scale[small] += np.log(TINY)
+            if t in last:
+                done = size == t
+                out[done] = np.log(sums[row, done]) + scale[done]
+        sums[:longest] = sums[high - low : high - low + longest].copy()
+    return out
+
+
+def expected(words: list[str], weight: np.ndarray, p: np.ndarray, vocabulary: dict[str, int]) -> np.ndarray:
+    """How often each piece is used in words of one language, over all segmentations by their share; p: of each piece."""
+    out = np.zeros(len(p))
+    codes, size = _codes([MARK + w for w in words])
+    n, every = len(codes), np.arange(len(words))
+    mine = arcs(codes, np.arange(1, n + 1)[:, None] <= size, vocabulary)
+    logs = n > SHORT
+    one, none = (0.0, -np.inf) if logs else (1.0, 0.0)
+    value = np.log(p) if logs else p
+    times, plus = (np.add, np.logaddexp) if logs else (np.multiply, np.add)
+    ahead, back = np.full((n + 1, len(words)), none), np.full((n + 1, len(words)), none)
+    ahead[0], back[size, every] = one, one
+    each = lambda t: ((length, word[a:b], piece[a:b]) for length, bounds, word, piece in mine if (a := bounds[t]) < (b := bounds[t + 1]))
+    for t in range(1, n + 1):
+        for length, w, piece in each(t):
+            ahead[t, w] = plus(ahead[t, w], times(ahead[t - length, w], value[piece]))
+    total = ahead[size, every]
+    for t in range(n, 0, -1):
+        for length, w, piece in each(t):
+            on = times(back[t, w], value[piece])
+            back[t - length, w] = plus(back[t - length, w], on)
+            share = np.exp(ahead[t - length, w] + on - total[w]) if logs else ahead[t - length, w] * on / total[w]
+            np.add.at(out, piece, share * weight[w])
+    return out
+
+
+def blocks_of(words: list[str]) -> Iterator[list[int]]:
+    """Numbers of the words, those of like length together, so many at once as have about BLOCK letters with their padding."""
+    block: list[int] = []
+    for i in sorted(range(len(words)), key=lambda i: len(words[i])):
+        if block and (len(block) + 1) * (len(words[i]) + 1) > BLOCK:
+            yield block
+            block = []
+        block.append(i)
+    if block:
+        yield block
 
 
 class Scorer:
@@ -157,59 +219,121 @@ class Scorer:
         self.rows = np.zeros((0, len(self.langs)))
 
     def _learn(self, new: list[str]) -> None:
-        cut = [[w[i : i + LONGEST] for i in range(0, len(w), LONGEST)] for w in new]
-        flat = [x for parts in cut for x in parts]
-        scores = np.concatenate([Lattice(flat[i : i + 2000], self.vocabulary).score(self.p) for i in range(0, len(flat), 2000)])
-        sums = np.add.reduceat(scores, np.cumsum([0] + [len(parts) for parts in cut[:-1]]))
-        self.number.update(zip(new, range(len(self.rows), len(self.rows) + len(new))))
-        self.rows = np.concatenate([self.rows, sums])
+        parts = [letters(w) for w in new]
+        flat = [x for own in parts for x in own]
+        scores = np.zeros((len(flat), len(self.langs)))
+        for block in blocks_of(flat):
+            scores[block] = score([flat[i] for i in block], self.p, self.vocabulary)
+        begin = np.cumsum([0] + [len(own) for own in parts])
+        sums = np.concatenate([np.zeros((1, len(self.langs))), np.cumsum(scores, axis=0)]) if any(len(own) != 1 for own in parts) else None
+        mine = scores if sums is None else sums[begin[1:]] - sums[begin[:-1]]
+        self.number.update((w, len(self.rows) + i if own else -1) for i, (w, own) in enumerate(zip(new, parts)))
+        self.rows = np.concatenate([self.rows, mine])
 
     def __call__(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         if len(self.number) > 500_000:
             self.number, self.rows = {}, self.rows[:0]
-        parts = [_WORDS((t or "").lower()) for t in texts]
+        parts = [_RUNS((t or "").lower()) for t in texts]
         new = sorted(set().union(*parts).difference(self.number))
         if new and self.langs:
             self._learn(new)
         names, scores = [], []
         for words in parts:
-            if not words or not self.langs:
+            at = np.array(list(map(self.number.__getitem__, words)), np.int64) if self.langs else np.zeros(0, np.int64)
+            at = at[at >= 0]
+            if not len(at):
                 names.append("und")
                 scores.append(0.0)
                 continue
-            total = self.rows[list(map(self.number.__getitem__, words))].sum(axis=0)
+            total = self.rows[at].sum(axis=0)
             best = int(total.argmax())
             names.append(self.langs[best])
             scores.append(float(1 / np.exp(total - total[best]).sum()))
         return names, scores
 
 
+# --- learning ---------------------------------------------------------------
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: dict[str, Counter] = {}
     for batch in batches:
         for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            counts.setdefault(lang, Counter()).update(w[i : i + LONGEST] for w in _WORDS((text or "").lower()) for i in range(0, len(w), LONGEST))
-    for lang, c in counts.items():
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(c), pa.string()), pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], names=["lang", "word", "n"])
+            counts.setdefault(lang, Counter()).update(_RUNS((text or "").lower()))
+    for lang, runs in counts.items():
+        c: Counter = Counter()
+        for run, n in runs.items():
+            for w in letters(run):
+                for i in range(0, len(w), LONG):
+                    c[w[i : i + LONG]] += n
+        words, times = list(c), list(c.values())
+        for i in range(0, len(words), 10_000):
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(words[i : i + 10_000]), pa.string()), pa.array(words[i : i + 10_000], pa.string()), pa.array(times[i : i + 10_000], pa.int64())], names=["lang", "word", "n"])
+
+
+def _used(langs: list[str], p, vocabulary):
+    """How often the counted words use each piece in each language: rows (lang number, piece, n)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros((len(langs), len(vocabulary.value) + 1))
+        waiting: list[tuple[list[str], list[int]]] = [([], []) for _ in langs]
+
+        def work(k: int) -> None:
+            words, n = waiting[k]
+            weight = np.array(n, float)
+            for block in blocks_of(words):
+                out[k] += expected([words[i] for i in block], weight[block], p.value[:, k], vocabulary.value)
+            waiting[k] = ([], [])
+
+        for batch in batches:
+            for lang, word, n in zip(*(c.to_pylist() for c in batch.columns)):
+                k = langs.index(lang)
+                waiting[k][0].append(word)
+                waiting[k][1].append(n)
+                if len(waiting[k][0]) >= 5_000:
+                    work(k)
+        for k in range(len(langs)):
+            work(k)
+        k, piece = np.nonzero(out)
+        yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(piece, pa.int32()), pa.array(out[k, piece], pa.float64())], names=["k", "piece", "n"])
+
+    return run
+
+
+def learn(counts: DataFrame, langs: list[str], vocabulary: dict[str, int]) -> np.ndarray:
+    """Piece probabilities, piece x language, from counts(lang, word, n)."""
+    context = counts.sparkSession.sparkContext
+    names = context.broadcast(vocabulary)
+    p = np.full((len(vocabulary) + 1, len(langs)), 1 / (len(vocabulary) + 1))
+    for _ in range(ROUNDS):
+        shared = context.broadcast(p)
+        rows = counts.mapInArrow(_used(langs, shared, names), "k int, piece int, n double").groupBy("k", "piece").agg(F.sum("n").alias("n")).toPandas()
+        used = np.full(p.shape, 0.1)
+        used[rows.piece, rows.k] += rows.n
+        p = used / used.sum(axis=0)
+        shared.destroy()
+    names.destroy()
+    return p
 
 
 def train(docs: DataFrame, usable: Column, vocabulary: str | None = None) -> tuple[list[str], np.ndarray, dict[str, int]]:
     """Languages, piece probabilities and the vocabulary, from docs(doc_id, text, lang) whose doc_id meets `usable`."""
-    from pyspark.sql import Window
-
     names = pieces(vocabulary or vocabulary_path())
     labelled = docs.filter(usable).filter("lang is not null and text is not null")
     # of a language with n documents those with the least hashes, a share of SAMPLE / n; one number for each language
     size = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not size:
+    langs = sorted(size)
+    if not langs:
         return [], np.zeros((len(names) + 1, 0)), names
     share = F.coalesce(*(F.when(F.col("lang") == x, F.lit(min(1.0, SAMPLE / n))) for x, n in size.items()))
     hashed = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     counts = labelled.filter(hashed < share).select(F.col("text").cast("string"), "lang").mapInArrow(_count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    top = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
-    rows = counts.withColumn("k", F.row_number().over(top)).filter(F.col("k") <= WORDS).select("lang", "word", "n").toPandas()
-    found = {lang: dict(zip(g.word, g.n.astype(float))) for lang, g in rows.groupby("lang")}
-    return (*learn(found, names), names) if found else ([], np.zeros((len(names) + 1, 0)), names)
+    # the sample's words are few bytes but much work, so they are dealt out
+    tasks = min(64, max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    counts = staged(counts.repartition(tasks, F.xxhash64("word")), "words")
+    p = learn(counts, langs, names)
+    discard(counts)
+    return langs, p, names
 
 
 def languages(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:

@@ -407,13 +407,46 @@ def test_toxicity_learns_from_training_rows_only(spark, odd):
     assert toxicity.toxicity(odd.limit(0), none).count() == 0
 
 
-def test_forward_sums_all_segmentations():
-    vocabulary = {"▁a": 0, "b": 1, "ab": 2, "▁ab": 3, "a": 4}
-    p = np.array([[0.3], [0.2], [0.1], [0.05], [0.15], [0.01]])
-    got = np.exp(langid.Lattice(["ab"], vocabulary).score(p))[0, 0]
-    assert np.isclose(got, 0.05 + 0.3 * 0.2 + 0.01 * 0.1 + 0.01 * 0.15 * 0.2)
-    used = langid.Lattice(["ab"], vocabulary).expected(p, np.ones((1, 1)))
-    assert np.isclose(used[3, 0], 0.05 / got) and np.isclose(used[1, 0], (0.3 * 0.2 + 0.01 * 0.15 * 0.2) / got)
+VOCABULARY = {"▁a": 0, "b": 1, "ab": 2, "▁ab": 3, "a": 4, "bab": 5}
+
+
+def segmentations(word):
+    """All ways to cut a word into pieces, unknown letters alone."""
+    if not word:
+        yield []
+    for end in range(1, len(word) + 1):
+        piece = VOCABULARY.get(word[:end], len(VOCABULARY) if end == 1 else None)
+        if piece is not None:
+            yield from ([piece, *rest] for rest in segmentations(word[end:]))
+
+
+def test_forward_and_backward_sums_as_enumeration():
+    rng = random.Random(6)
+    p = np.array([[0.3, 0.1], [0.2, 0.2], [0.1, 0.3], [0.05, 0.1], [0.15, 0.1], [0.1, 0.1], [0.01, 0.02]])
+    some = ["".join(rng.choice("abc") for _ in range(rng.randint(1, 9))) for _ in range(60)]
+    want, used = [], np.zeros(len(p))
+    for n, w in enumerate(some):
+        ways = list(segmentations(langid.MARK + w))
+        chances = np.array([[np.prod(p[x, k]) for x in ways] for k in (0, 1)])
+        want.append(chances.sum(axis=1))
+        for way, chance in zip(ways, chances[0]):
+            np.add.at(used, way, (n + 1) * chance / want[-1][0])
+    assert np.allclose(np.exp(langid.score(some, p, VOCABULARY)), want)
+    assert np.allclose(langid.expected(some, np.arange(1.0, 61), p[:, 0], VOCABULARY), used)
+
+
+def test_long_words_have_finite_scores():
+    p = np.full((len(VOCABULARY) + 1, 2), 1e-9)
+    p[-1] = 1e-10, 1e-11
+    one = langid.score(["z" * 10_000], p, VOCABULARY)[0]
+    assert np.allclose(one, 10_001 * np.log([1e-10, 1e-11])) and np.allclose(langid.score(["z" * 10_000, "abab", "z" * 40], p, VOCABULARY)[0], one)
+    assert np.allclose(langid.score(["ab" * 5_000], p, VOCABULARY)[0], langid.score(["ab" * 5_000, "ab" * 4_000], p, VOCABULARY)[0])
+    assert np.allclose(langid.expected(["z" * 200], np.array([2.0]), p[:, 0], VOCABULARY), [0] * 6 + [402])
+
+
+def test_numbers_are_no_letters():
+    scorer = langid.Scorer((["x", "y"], np.full((len(VOCABULARY) + 1, 2), [0.1, 0.2]), VOCABULARY))
+    assert scorer(["½ ② ² 7 _", "", None, "½b", "漢"]) == (["und", "und", "und", "y", "y"], [0.0, 0.0, 0.0, pytest.approx(0.8), pytest.approx(0.8)])
 
 
 def test_languages(spark, sf_dir, odd):
@@ -428,11 +461,11 @@ def test_languages(spark, sf_dir, odd):
     assert langid.languages(odd.withColumn("lang", F.lit("en")).limit(0)).count() == 0
 
 
-def test_training_counts_all_parts_of_long_words():
+def test_training_counts_all_of_long_words(spark):
     word = "ab" * 45 + "z"
-    batch = pa.RecordBatch.from_arrays([pa.array([f"x {word} x"]), pa.array(["en"])], names=["text", "lang"])
+    batch = pa.RecordBatch.from_arrays([pa.array([f"x {word} x ½y½ {'q' * 5000}"]), pa.array(["en"])], names=["text", "lang"])
     got = {w: n for b in langid._count([batch]) for w, n in zip(b.column(1).to_pylist(), b.column(2).to_pylist())}
-    assert got == {"x": 2, "ab" * 20: 2, "ababababab" + "z": 1}
+    assert got == {"x": 2, word: 1, "y": 1, "q" * 4096: 1, "q" * 904: 1}
 
 
 # --- tokens ---------------------------------------------------------------------------------
