@@ -1,18 +1,24 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-A lexical transducer turns words into symbols (insult, threat, target, negation,
-report, clause end, other). Three small transducers rewrite them in turn: one
-marks what stands in the scope of a negation, one what a clause reports of
-somebody else, one what is directed at a person. Their composition is one table,
-run once over a text, that counts matched clauses by kind; a logistic model
-weighs the kinds.
+A lexical transducer turns words into symbols (insult, ambiguous insult, threat,
+target, speaker, negation, report, clause end, other). Five small transducers
+rewrite them in turn: one marks what stands in the scope of a negation, one what a
+clause reports of somebody else, one what is an insult and whether it meets a
+target on either side, one what is a threat and whom it is for (the target after
+it, or before it if the speaker is named), and one keeps of each clause what it
+matched. Their composition is one table, run once over a text. An ambiguous
+insult, such as trash, counts only where it meets a target, and a threatening word
+without a target is no threat.
+
+The score weighs matched clauses by kind: a logistic model over the clauses of each
+kind and their share of all clauses.
 
 Insults are stems. Besides the listed ones they are learned from labelled
-documents: stems that are clearly commoner in toxic ones. Counting runs over at
-most SAMPLE labelled rows, chosen by a hash of their id, and at most STEMS stems
-are kept. The weights are fitted on the same rows, each half of them scanned with
-the stems of the other half. Without labels of both kinds the listed stems and
-PRIOR weights are used.
+documents: stems that are clearly commoner in toxic ones. Learning takes at most
+SAMPLE labelled rows, chosen by a hash of their id; every stem of these that meets
+the test is used. The weights are fitted on the same rows, each half of them
+scanned with the stems of the other half. Without labels of both kinds the listed
+stems and PRIOR weights are used.
 
 Odd input: null and empty texts have no clause and get the score of that; labels
 without id or value are not used; the larger label of a repeated id counts; rows
@@ -30,76 +36,115 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import discard, small_batches, staged
 
 SAMPLE = 20_000
-STEMS = 4_000
 THRESHOLD = 0.3
 #: Lengths of the prefixes that are tried as stems, besides whole words.
 PREFIXES = (4, 5, 6)
 
 # Word lists of the grammar, four languages.
-INSULTS = "idiot moron imbecile stupid worthless pathetic scum loser trash disgusting dumbass bastard"
-THREATS = "kill hurt destroy beat murder strangle töten umbringen zerstören tuer détruire frapper matar destruir golpear"
-TARGETS = "you your yours he she they him her them his their du dich dir ihr euch tu toi vous ton votre usted tú ti vosotros"
-NEGATIONS = "not no never nobody without nicht kein keine nie niemand pas jamais aucun sans nunca jamás nadie ningún"
+INSULTS = "idiot idiots moron morons imbecile stupid dumbass bastard bastards scumbag asshole bitch depp trottel arschloch hurensohn vollidiot dummkopf connard connasse salaud crétin abruti imbécile cabrón gilipollas idiota estúpido estúpida hijoputa"
+AMBIGUOUS = "worthless pathetic scum loser trash garbage disgusting dumb ugly pig rat clown dirt dreck abschaum müll déchet ordure porc basura escoria cerdo"
+THREATS = "kill hurt destroy beat murder strangle shoot stab töte töten umbringen zerstören schlagen tuer tue tuerai détruire frapper matar mataré destruir golpear"
+TARGETS = "you your yours u ya yourself him her them his their dich dir du euch ihr ihn te toi tu vous ton votre ti tú usted ustedes vosotros lo los"
+SPEAKERS = "i we ill ich wir je j nous yo nosotros voy vamos vais"
+NEGATIONS = "not no never nobody without don doesn didn isn aren wasn won wouldn shouldn couldn ain nicht kein keine nie niemand pas jamais aucun sans nunca jamás nadie ningún"
 REPORTS = "said says wrote claimed called reported quoted sagte schrieb behauptete nannte dit écrit prétend dijo escribió afirmó llamó"
 
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, END = range(7)
-DIRECTED_INSULT, DIRECTED_THREAT, NEGATED, REPORTED = range(7, 11)
-KINDS = (INSULT, DIRECTED_INSULT, THREAT, DIRECTED_THREAT, NEGATED, REPORTED)
-#: Bias, then for each kind the weight of log(1 + clauses), then that of matched clauses per word.
-PRIOR = np.array([-4.0, 3.0, 4.0, 1.0, 2.5, 0.5, 0.5, 5.0])
+OTHER, INSULT, WEAK, THREAT, TARGET, SPEAKER, NEGATION, REPORT, END = range(9)
+#: What a clause may match. A transducer that has matched puts out the kind's bit above the symbols.
+KINDS = "insult directed_insult threat directed_threat negated reported".split()
+BARE_INSULT, DIRECTED_INSULT, BARE_THREAT, DIRECTED_THREAT, NEGATED, REPORTED = (16 << k for k in range(6))
+SYMBOL = 15
+#: Bias, then for each kind the weight of log(1 + clauses), then that of insulting and threatening clauses among all clauses.
+PRIOR = np.array([-4.0, 3.0, 5.0, 0.0, 7.0, 0.3, 0.3, 3.0])
 
 _TOKENS = re.compile(r"[^\W\d_]+|[.!?;\n]").findall
 
 
 # --- transducers ------------------------------------------------------------
-# A transducer is (start, step): step(state, symbol) gives the next state and the symbol put out.
+# A transducer is (start, step): step(state, x) gives the next state and what is put out for the symbol x.
+# Bits above the symbol are matches of the transducers before it and go through.
 
 
 def _negation(scope: int = 3):
-    def step(left: int, x: int) -> tuple[int, int]:
+    """Insults and threats up to some words after a negation are negated."""
+
+    def step(left: int, x: int):
         if x == NEGATION:
             return scope, x
         if x == END:
             return 0, x
-        return max(left - 1, 0), NEGATED if left and x in (INSULT, THREAT) else x
+        return max(left - 1, 0), NEGATED if left and x in (INSULT, WEAK, THREAT) else x
 
     return 0, step
 
 
 def _report():
-    def step(inside: bool, x: int) -> tuple[bool, int]:
-        if x in (REPORT, END):
-            return x == REPORT, x
-        return inside, REPORTED if inside and x in (INSULT, THREAT) else x
+    """Insults and threats after a verb of saying are somebody else's, to the end of the clause."""
+
+    def step(inside: bool, x: int):
+        symbol = x & SYMBOL
+        if symbol in (REPORT, END):
+            return symbol == REPORT, x
+        return inside, REPORTED if inside and symbol in (INSULT, WEAK, THREAT) else x
 
     return False, step
 
 
-def _direction(reach: int = 4):
-    directed = {INSULT: DIRECTED_INSULT, THREAT: DIRECTED_THREAT}
+def _insult(reach: int = 4, behind: int = 3):
+    """Insults with a target up to `reach` words before or `behind` words after them are directed; others match if they are not ambiguous."""
 
-    def step(left: int, x: int) -> tuple[int, int]:
-        if x == TARGET:
-            return reach, x
-        if x == END:
-            return 0, x
-        return max(left - 1, 0), directed.get(x, x) if left else x
+    def step(state: tuple[int, int], x: int):
+        left, wait = state
+        symbol = x & SYMBOL
+        if symbol == END:
+            return (0, 0), x
+        if symbol == TARGET:
+            return (reach, 0), x | (DIRECTED_INSULT if wait else 0)
+        if symbol in (INSULT, WEAK):
+            if left:
+                return (left - 1, 0), DIRECTED_INSULT
+            return (0, behind), BARE_INSULT if symbol == INSULT else OTHER
+        return (max(left - 1, 0), max(wait - 1, 0)), x
+
+    return (0, 0), step
 
-    return 0, step
 
+def _threat(reach: int = 3):
+    """Threats with a target up to `reach` words after them, or before them if the speaker is named in the clause, are directed."""
 
-def compose(first, second):
-    """The transducer that runs the first and feeds what it puts out to the second."""
+    def step(state: tuple[bool, int, int], x: int):
+        speaker, left, wait = state
+        symbol, done = x & SYMBOL, x & ~SYMBOL
+        if symbol == END:
+            return (False, 0, 0), x
+        if symbol == SPEAKER:
+            return (True, max(left - 1, 0), max(wait - 1, 0)), done
+        if symbol == TARGET:
+            return (speaker, reach + 1, 0), done | (DIRECTED_THREAT if wait else 0)
+        if symbol == THREAT:
+            if speaker and left:
+                return (speaker, 0, 0), done | DIRECTED_THREAT
+            return (speaker, 0, reach), done | BARE_THREAT
+        return (speaker, max(left - 1, 0), max(wait - 1, 0)), done
 
-    def step(state, x):
-        a, y = first[1](state[0], x)
-        b, z = second[1](state[1], y)
-        return (a, b), z
+    return (False, 0, 0), step
 
-    return (first[0], second[0]), step
+
+def compose(*machines):
+    """The transducer that runs the first and feeds what it puts out to the next one."""
+    starts, steps = zip(*machines)
+
+    def step(states, x):
+        after = []
+        for state, one in zip(states, steps):
+            state, x = one(state, x)
+            after.append(state)
+        return tuple(after), x
+
+    return starts, step
 
 
 def table(machine) -> list[list[tuple[int, int]]]:
@@ -118,17 +163,39 @@ def table(machine) -> list[list[tuple[int, int]]]:
     return rows
 
 
-GRAMMAR = table(compose(compose(_negation(), _report()), _direction()))
+GRAMMAR = table(compose(_negation(), _report(), _insult(), _threat()))
+MARKED = (INSULT, WEAK, THREAT)
+
+
+def clauses(symbols: bytes) -> tuple[list[int], int]:
+    """How many clauses match each of KINDS, and the number of clauses: the last transducer, which puts out a clause's matches at its end."""
+    state, matched, counts, n, filled = 0, 0, Counter(), 0, False
+    for x in (*symbols, END):
+        state, y = GRAMMAR[state][x]
+        if x == END:
+            if matched:
+                counts[matched] += 1
+                matched = 0
+            n += filled
+            filled = False
+        else:
+            filled = True
+            matched |= y & ~SYMBOL
+    # the stronger match of a clause counts
+    stronger = {BARE_INSULT: DIRECTED_INSULT, BARE_THREAT: DIRECTED_THREAT}
+    kinds = [BARE_INSULT, DIRECTED_INSULT, BARE_THREAT, DIRECTED_THREAT, NEGATED, REPORTED]
+    return [sum(c for m, c in counts.items() if m & k and not m & stronger.get(k, 0)) for k in kinds], n
 
 
 class Scanner:
-    """Counts a text's matched clauses by kind."""
+    """A text's features: the logarithm of 1 + its clauses of each kind, and the share of insulting and threatening ones."""
 
     def __init__(self, stems: set[str]) -> None:
         self.stems = stems
         self.symbols: dict[str, int] = {"\n": END, ".": END, "!": END, "?": END, ";": END}
-        for words, symbol in ((TARGETS, TARGET), (NEGATIONS, NEGATION), (REPORTS, REPORT), (THREATS, THREAT), (INSULTS, INSULT)):
+        for words, symbol in ((TARGETS, TARGET), (SPEAKERS, SPEAKER), (NEGATIONS, NEGATION), (REPORTS, REPORT), (THREATS, THREAT), (AMBIGUOUS, WEAK), (INSULTS, INSULT)):
             self.symbols |= dict.fromkeys(words.split(), symbol)
+        self.symbols |= {w: INSULT for w, x in self.symbols.items() if x == WEAK and f"{w}$" in stems}
         self.fixed = dict(self.symbols)
 
     def symbol(self, word: str) -> int:
@@ -142,14 +209,10 @@ class Scanner:
         new = set(words).difference(symbols)
         symbols.update((w, self.symbol(w)) for w in new)
         seen = bytes(map(symbols.__getitem__, words))
-        if INSULT in seen or THREAT in seen:
-            state, counts = 0, [0] * (REPORTED + 1)
-            for x in seen:
-                state, y = GRAMMAR[state][x]
-                counts[y] += 1
-            out[:-1] = [counts[k] for k in KINDS]
-            out[-1] = out[:-1].sum() / len(words)
-            out[:-1] = np.log1p(out[:-1])
+        if any(x in seen for x in MARKED):
+            counts, n = clauses(seen)
+            out[:-1] = np.log1p(counts)
+            out[-1] = (counts[0] + counts[1] + counts[3]) / max(n, 1)
         return out
 
 
@@ -161,10 +224,10 @@ def stems_in(text: str) -> set[str]:
 # --- learning ---------------------------------------------------------------
 
 
-def clearly_toxic(t: np.ndarray, c: np.ndarray, toxic: int, clean: int) -> np.ndarray:
+def clearly_toxic(t: Column, c: Column, toxic: int, clean: int) -> Column:
     """Stems whose share of toxic texts is, error bounds included, several times that of clean ones, and which clean ones hardly have."""
-    low = (t - 1.65 * np.sqrt(t)) / max(toxic, 1)
-    high = (c + 1.65 * np.sqrt(c) + 1) / max(clean, 1)
+    low = (t - 1.65 * F.sqrt(t)) / max(toxic, 1)
+    high = (c + 1.65 * F.sqrt(c) + 1) / max(clean, 1)
     return (low >= 6 * high) & (c <= 0.02 * t)
 
 
@@ -207,18 +270,19 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column) -> tuple[set[str],
     chosen = labels.filter(usable).filter("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).withColumn("half", F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(2)).cast("int"))
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "toxic", "half")
+    rows = staged(rows.repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))), "labelled")  # a bounded sample, read three times
     size = {(r.half, r.toxic): r.n for r in rows.groupBy("half", "toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n = [[size.get((half, toxic), 0) for toxic in (0, 1)] for half in (0, 1)]
-    if not (n[0][0] + n[1][0] and n[0][1] + n[1][1]):
+    every = [n[0][0] + n[1][0], n[0][1] + n[1][1]]
+    if not all(every):
         return set(), PRIOR
-    stems = rows.mapInArrow(_count_stems, "stem string, c0 long, t0 long, c1 long, t1 long").groupBy("stem").agg(*(F.sum(c).alias(c) for c in ("c0", "t0", "c1", "t1")))
-    toxic = F.col("t0") + F.col("t1")
-    kept = stems.filter(toxic >= 3).filter(toxic * max(n[0][0] + n[1][0], 1) > 4 * (F.col("c0") + F.col("c1")) * max(n[0][1] + n[1][1], 1)).orderBy(F.desc(toxic), "stem").limit(STEMS).toPandas()
-    pick = lambda t, c, n1, n0: set(kept.stem[clearly_toxic(t.to_numpy(float), c.to_numpy(float), n1, n0)])
-    halves = [pick(kept[f"t{h}"], kept[f"c{h}"], n[h][1], n[h][0]) for h in (0, 1)]
-    scanned = rows.mapInArrow(_scan_halves(spark.sparkContext.broadcast(halves)), "x array<double>, toxic int").toPandas()
-    weights = fit(np.array(scanned.x.tolist()), scanned.toxic.to_numpy(float))
-    return pick(kept.t0 + kept.t1, kept.c0 + kept.c1, n[0][1] + n[1][1], n[0][0] + n[1][0]), weights
+    stems = rows.mapInArrow(_count_stems, "stem string, c0 long, t0 long, c1 long, t1 long").filter("t0 + t1 > 0 or c0 + c1 > 0").groupBy("stem").agg(*(F.sum(c).alias(c) for c in ("c0", "t0", "c1", "t1")))
+    tests = [clearly_toxic(F.col(f"t{h}"), F.col(f"c{h}"), n[h][1], n[h][0]) for h in (0, 1)] + [clearly_toxic(F.col("t0") + F.col("t1"), F.col("c0") + F.col("c1"), every[1], every[0])]
+    found = stems.select("stem", *(t.alias(f"s{i}") for i, t in enumerate(tests))).filter("s0 or s1 or s2").collect()
+    picked = [{r.stem for r in found if r[f"s{i}"]} for i in range(3)]
+    scanned = rows.mapInArrow(_scan_halves(spark.sparkContext.broadcast(picked[:2])), "x array<double>, toxic int").toPandas()
+    discard(rows)
+    return picked[2], fit(np.array(scanned.x.tolist()), scanned.toxic.to_numpy(float))
 
 
 def scorer(stems: set[str], weights: np.ndarray, docs: DataFrame) -> Column:

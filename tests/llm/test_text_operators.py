@@ -381,13 +381,92 @@ def test_chat_query(spark):
 # --- toxicity, languages ---------------------------------------------------------------
 
 
-def test_grammar():
-    scan = toxicity.Scanner({"vequ"})
-    kinds = lambda t: dict(zip(("insult", "directed", "threat", "directed_threat", "negated", "reported"), np.expm1(scan(t)[:-1]).round().astype(int).tolist()))
-    assert kinds("such an idiot.")["insult"] == 1 and kinds("you are an idiot")["directed"] == 1
-    assert kinds("not an idiot")["negated"] == 1 and kinds("they wrote: idiot")["reported"] == 1
-    assert kinds("not so. idiot")["insult"] == 1 and kinds("i will kill him")["threat"] == 1 and kinds("you i kill")["directed_threat"] == 1
-    assert kinds("Vequaille!")["insult"] == 1 and not any(kinds("a quiet day").values()) and not any(kinds(None or "").values())
+def kinds_of(text, stems=()):
+    return {k: n for k, n in zip(toxicity.KINDS, np.expm1(toxicity.Scanner(set(stems))(text)[:-1]).round().astype(int).tolist()) if n}
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("such an idiot.", {"insult": 1}),
+        ("You are an idiot", {"directed_insult": 1}),
+        ("idiots, all of them", {"directed_insult": 1}),
+        ("idiot! idiot! moron.", {"insult": 3}),
+        ("not an idiot", {"negated": 1}),
+        ("no. idiot", {"insult": 1}),
+        ("they wrote: idiot", {"reported": 1}),
+        ("He said I will kill you", {"reported": 1}),
+        ("I will kill you", {"directed_threat": 1}),
+        ("i'm going to kill them all", {"directed_threat": 1}),
+        ("ich werde dich töten", {"directed_threat": 1}),
+        ("je vais te tuer", {"directed_threat": 1}),
+        ("I won't hurt you", {"negated": 1}),
+        ("you kill", {"threat": 1}),
+        ("kill", {"threat": 1}),
+        ("I kill the process. You wait.", {"threat": 1}),
+        ("take out the trash and the other trash", {}),
+        ("you are trash", {"directed_insult": 1}),
+        ("a quiet day", {}),
+        (None, {}),
+        ("", {}),
+        ("\n..!", {}),
+    ],
+)
+def test_grammar(text, want):
+    assert kinds_of(text) == want
+
+
+def test_learned_stems_are_insults():
+    assert kinds_of("Vequaille!", {"vequ"}) == {"insult": 1} and kinds_of("take out the trash", {"trash$"}) == {"insult": 1}
+
+
+@pytest.mark.parametrize(("text", "toxic"), [("I will kill you", True), ("you are an idiot", True), ("you trash", True), ("take out the trash and the other trash", False), ("kill", False), ("you kill", False), ("they wrote: idiot", False), ("", False)])
+def test_prior_weights(text, toxic):
+    x = toxicity.Scanner(set())(text)
+    assert (1 / (1 + np.exp(-(toxicity.PRIOR[0] + x @ toxicity.PRIOR[1:]))) >= toxicity.THRESHOLD) == toxic
+
+
+def composed_by_hand(symbols):
+    """The kinds of clauses by looking at each clause as a whole."""
+    T = toxicity
+    counts = [0] * 6
+    for clause in bytes(symbols).split(bytes([T.END])):
+        kinds = set()
+        for i, x in enumerate(clause):
+            if x not in T.MARKED:
+                continue
+            last = lambda what: next((i - j for j in range(i - 1, -1, -1) if clause[j] in what), 99)
+            if last([T.NEGATION]) <= 3:
+                kinds.add(4)
+            elif last([T.REPORT]) < 99:
+                kinds.add(5)
+            elif x == T.THREAT:
+                after = clause[i + 1 : i + 4]
+                stop = next((k for k, y in enumerate(after) if y == T.THREAT), len(after))
+                told = T.SPEAKER in clause[:i] and last([T.TARGET]) <= 4 and last([T.TARGET]) < last([T.THREAT])
+                kinds.add(3 if told or T.TARGET in after[:stop] else 2)
+            else:
+                after = clause[i + 1 : i + 4]
+                stop = next((k for k, y in enumerate(after) if y in (T.INSULT, T.WEAK)), len(after))
+                if last([T.TARGET]) <= 4 or T.TARGET in after[:stop]:
+                    kinds.add(1)
+                elif x == T.INSULT:
+                    kinds.add(0)
+        for k in kinds:
+            counts[k] += not (k in (0, 2) and k + 1 in kinds)
+    return counts
+
+
+@given(st.lists(st.sampled_from([0, 0, 0, 1, 2, 3, 4, 5, 8]), max_size=14))
+@settings(max_examples=400, deadline=None)
+def test_composition_as_brute_force(symbols):
+    assert toxicity.clauses(bytes(symbols))[0] == composed_by_hand(symbols)
+
+
+@given(st.lists(st.sampled_from([0, 0, 1, 2, 3, 6, 7, 8]), max_size=14))
+@settings(max_examples=200, deadline=None)
+def test_negation_and_report_as_brute_force(symbols):
+    assert toxicity.clauses(bytes(symbols))[0] == composed_by_hand(symbols)
 
 
 def test_toxicity_learns_from_training_rows_only(spark, odd):
