@@ -52,6 +52,14 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with underscores before it until df has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def discard(df: DataFrame) -> None:
     """Remove a staged table that no later read needs."""
     remove(df.sparkSession, df._lumenrec_path)

@@ -9,8 +9,12 @@ documents that share a band are compared.
 Nothing compares all pairs of a group. Documents with equal sets are one class.
 In a bucket each class is first compared with the bucket's least one, and the
 links found are closed to components. Only where a bucket still holds several
-components are its members compared with those of other components, in blocks,
-on whole sets, and only links that join two components are returned.
+components are its members compared with those of other components, on whole sets,
+and only links that join two components are returned. Members of a bucket's
+largest component are one side and all others the other; a side is dealt into size
+classes, of which only like or neighbouring ones can be similar, and these into
+blocks. Blocks are compared in pairs, except two of the largest component, so an
+outlier in a bucket costs one more copy of its members and not their square.
 
 Odd input: null and empty texts, and texts without words, have the empty set and
 are linked with nothing; equal rows get equal results; a null doc_id is never
@@ -21,6 +25,7 @@ ignored by `near_duplicates` and kept by `drop_near_duplicates`.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, documents_words, mix, small_batches, staged, table_of, utf8
+from .common import discard, documents_words, free_name, mix, small_batches, staged, table_of, utf8
 from .graph import components
 
 REGISTERS, ROWS = 64, 4
@@ -182,6 +187,18 @@ def _opened(threshold: int):
     return run
 
 
+def open_blocks(members: DataFrame, threshold: int) -> DataFrame:
+    """band, key, i, j, side, doc_id, comp: members(band, key, main, doc_id, comp, n) of open buckets, once for each pair of blocks (i, j) that has them."""
+    least = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / threshold) + 1e-9).cast("int") if threshold < 100 else F.col("n").cast("int")
+    members = members.select("band", "key", "doc_id", "comp", (F.col("comp") != F.col("main")).cast("int").alias("other"), least.alias("class"))
+    units = members.groupBy("band", "key", "other", "class").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    dealt = members.join(units, ["band", "key", "other", "class"]).withColumn("nth", F.pmod(F.xxhash64("doc_id", F.lit(2)), F.col("blocks")).cast("int")).drop("blocks")
+    partner = units.select(F.col("band").alias("b"), F.col("key").alias("k"), F.col("other").alias("o"), F.col("class").alias("c"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("m"))
+    like = (F.col("band") == F.col("b")) & (F.col("key") == F.col("k")) & (F.abs(F.col("class") - F.col("c")) <= 1) & (F.col("other") + F.col("o") > 0)
+    mine, its = F.struct(F.col("other").alias("o"), F.col("class").alias("c"), F.col("nth").alias("m")), F.struct("o", "c", "m")
+    return dealt.join(partner, like).select("band", "key", F.least(mine, its).alias("i"), F.greatest(mine, its).alias("j"), (mine > its).cast("int").alias("side"), "doc_id", "comp")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs(doc_id, text); threshold in hundredths."""
     spark = docs.sparkSession
@@ -192,7 +209,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFra
     # one row for each distinct set; equal sets are one class, named by its least doc_id
     classes = signed.filter("n_shingles > 0 and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     classes = staged(classes, "classes")
-    banded = classes.select("doc_id", F.posexplode("bands").alias("band", "key"))
+    banded = classes.select("doc_id", "n", F.posexplode("bands").alias("band", "key"))
     hubs = banded.groupBy("band", "key").agg(F.count(F.lit(1)).alias("members"), F.min("doc_id").alias("hub")).filter("members > 1")
     shared = staged(banded.join(hubs, ["band", "key"]), "buckets")
 
@@ -210,15 +227,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFra
 
     # buckets in which members other than the hub are still in different components
     comp = F.coalesce("v", "doc_id").alias("comp")
-    many = shared.filter("members > 2").join(labels, F.col("doc_id") == F.col("u"), "left").select("band", "key", "hub", "doc_id", comp)
+    many = shared.filter("members > 2").join(labels, F.col("doc_id") == F.col("u"), "left").select("band", "key", "doc_id", comp, "n")
     many = staged(many, "members")
-    off = F.when(F.col("doc_id") != F.col("hub"), F.col("comp"))
-    opened = many.groupBy("band", "key").agg(F.min(off).alias("low"), F.max(off).alias("high"), F.count(F.lit(1)).alias("members"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("x")).filter("low <> high")
+    sides = many.groupBy("band", "key", "comp").agg(F.count(F.lit(1)).alias("own"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("x"))
+    opened = sides.groupBy("band", "key").agg(F.max(F.struct("own", "comp"))["comp"].alias("main"), F.sum("own").alias("members"), F.sum("s").alias("s"), F.bit_xor("x").alias("x"), F.count(F.lit(1)).alias("comps")).filter("comps > 1")
     # buckets of the same members are compared once
-    opened = opened.groupBy("members", "s", "x").agg(F.min(F.struct("band", "key")).alias("b")).select("b.band", "b.key", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
-    mine = F.pmod(F.xxhash64("doc_id", F.lit(2)), F.col("blocks")).cast("int")
-    blocks = many.join(opened, ["band", "key"]).withColumn("mine", mine).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    blocks = blocks.select("band", "key", F.least("mine", "with").alias("i"), F.greatest("mine", "with").alias("j"), (F.col("mine") > F.col("with")).cast("int").alias("side"), "doc_id", "comp")
+    opened = opened.groupBy("members", "s", "x").agg(F.min(F.struct("band", "key")).alias("b"), F.first("main").alias("main")).select("b.band", "b.key", "main")
+    blocks = open_blocks(many.join(opened, ["band", "key"]), threshold)
     joined = blocks.join(sets, "doc_id").groupBy("band", "key", "i", "j").applyInPandas(_opened(threshold), "u long, v long")
     links = staged(starred.union(joined), "links")
     labels = components(links)
@@ -232,5 +247,6 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFra
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFrame:
     """The rows of docs whose document is the least of its component, all columns kept."""
-    gone = near_duplicates(docs, k, threshold).filter("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    gone = free_name(docs, "gone")
+    copies = near_duplicates(docs, k, threshold).filter("not kept").select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(copies, F.col("doc_id") == F.col(gone), "left_anti")

@@ -83,6 +83,37 @@ def test_near_duplicates_odd_input(spark, odd):
     assert near_dedup.near_duplicates(odd.limit(0)).count() == 0
     kept = near_dedup.drop_near_duplicates(odd, 3, 85)
     assert kept.columns == odd.columns and kept.count() == 8
+    clash = odd.withColumnRenamed("u", "gone").withColumnRenamed("h", "_gone")
+    assert near_dedup.drop_near_duplicates(clash, 3, 85).columns == clash.columns and near_dedup.drop_near_duplicates(clash, 3, 85).count() == 8
+
+
+def test_an_outlier_costs_no_square(spark):
+    rows = [(0, 7, 1, i, 1, 1000 + i % 5) for i in range(20_000)] + [(0, 7, 1, 90_000, 90_000, 1003), (0, 7, 1, 90_001, 90_001, 10)]
+    members = spark.createDataFrame(rows, "band int, key long, main long, doc_id long, comp long, n long")
+    dealt = near_dedup.open_blocks(members, 85)
+    assert dealt.count() < 2 * len(rows)
+    groups = {}
+    for r in dealt.collect():
+        groups.setdefault((r.i, r.j), []).append((r.side, r.doc_id))
+    met = [{i for _, i in g} for g in groups.values() if any(i == 90_000 for _, i in g)]
+    assert set().union(*met) >= {i for _, _, _, i, _, _ in rows} - {90_001} and max(map(len, met)) < 1_000
+
+
+@pytest.mark.parametrize("threshold", [50, 80, 85, 100])
+def test_blocks_miss_no_pair_of_like_sizes(spark, threshold):
+    rng = random.Random(threshold)
+    rows = [(0, 7, 1, i, rng.choice([1, 1, 2, 3, i + 10]), rng.randint(1, 60)) for i in range(150)]
+    near_dedup.BLOCK, before = 8, near_dedup.BLOCK
+    try:
+        dealt = near_dedup.open_blocks(spark.createDataFrame(rows, "band int, key long, main long, doc_id long, comp long, n long"), threshold).collect()
+    finally:
+        near_dedup.BLOCK = before
+    groups = {}
+    for r in dealt:
+        groups.setdefault((r.i, r.j), []).append((r.side, r.doc_id))
+    met = {frozenset((a, b)) for (i, j), g in groups.items() for x, a in g for y, b in g if a != b and (x != y or i == j)}
+    want = {frozenset((a[3], b[3])) for a in rows for b in rows if a[4] != b[4] and 100 * min(a[5], b[5]) >= threshold * max(a[5], b[5])}
+    assert want <= met
 
 
 def test_links_between_are_a_forest_over_all_links():
