@@ -5,9 +5,10 @@
 3. Large lengths are put into groups of equal cardinality and rounded up to their group's largest, which
    leaves few sizes. The cheapest mix of configurations of these sizes comes from a linear program (column
    generation; a configuration is priced by a knapsack), rounded down.
-4. Actual lengths take the places of the rounded ones, which frees room; what rounding left over, the
-   sequences that this leaves too empty, and all small pieces then go, longest first, to the fullest
-   sequence that has room.
+4. Actual lengths take the places of the rounded ones, and the room that this frees goes to the longest
+   piece that fits it. What rounding left over, the sequences that this leaves too empty, and all small
+   pieces then go, longest first, to the fullest sequence that has room. Of several limits for "too empty"
+   the plan with the fewest sequences wins.
    All this is done on runs of equal sequences, never on single ones, so that it costs the same for any corpus.
 5. Each piece finds its place by its rank among the pieces of its length. Ranks are counted in hashed
    buckets, so that a length that a third of all pieces have is not gathered in one task.
@@ -16,6 +17,8 @@
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,8 +36,10 @@ SMALL = 1 / 8
 GROUPS = 128
 #: A run of the linear program's columns ends here at the latest; any basis is feasible, a further one only saves room.
 ROUNDS = 3000
-#: Rooms up to which a filled configuration is kept as it is before best fit; the plan with the fewest sequences wins.
-TIGHT = (CAPACITY, 64, 32, 16, 8, 4, 2)
+#: Pieces of a length that are ranked in one bucket, more or less.
+BUCKET = 100_000
+#: Rooms up to which a filled configuration is kept as it is before best fit.
+TIGHT = (CAPACITY, 64, 32, 16, 8, 4, 2, 1, 0)
 
 
 def pieces_of(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -158,7 +163,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROU
     small = int(capacity * SMALL)
     large = sorted((n for n in histogram if small < n < capacity), reverse=True)
     total = sum(histogram[n] for n in large)
-    filled: list[tuple[list[int], int]] = []  # the actual lengths in a sequence, and how many sequences hold just these
+    left = _Left([], capacity)
     if total:
         # groups of equal cardinality along the lengths, longest first; a length may fall into several
         cuts = np.unique(np.linspace(0, total, min(groups, total) + 1).round().astype(np.int64))
@@ -178,31 +183,63 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROU
                     break
                 have[k].append([large[i], int(min(b, ends[i]) - max(a, begin))])
 
-        def draw(k: int, count: int) -> list[tuple[int, int]]:
-            """(length, how many) of the next pieces of a group, as many as there are."""
-            got = []
-            while count and have[k]:
-                n = min(have[k][0][1], count)
-                got.append((have[k][0][0], n))
-                have[k][0][1] -= n
-                count -= n
-                if not have[k][0][1]:
-                    have[k].pop(0)
-            return got
-
+        left = _Left(have, capacity)
         for column, count in zip(basis.T.round().astype(int), np.floor(used + 1e-6).astype(np.int64).tolist()):
-            if not count:
-                continue
-            slots = [draw(k, count) for k in np.flatnonzero(column) for _ in range(column[k])]
-            stops = [np.cumsum([n for _, n in slot]) for slot in slots]
-            marks = sorted({0, count}.union(*(x.tolist() for x in stops)))
-            for a, b in zip(marks[:-1], marks[1:]):
-                inside = [slot[int(np.searchsorted(x, a, "right"))][0] for slot, x in zip(slots, stops) if len(x) and a < x[-1]]
-                filled.append((inside, b - a))
-    plans = [_finish(histogram, filled, room, capacity) for room in TIGHT]
+            slots = [int(k) for k in np.flatnonzero(column) for _ in range(column[k])]
+            left.fill(slots, count)
+    plans = [_finish(histogram, left.filled, room, capacity) for room in TIGHT]
     return min(plans, key=lambda p: p[1])
 
 
+class _Left:
+    """Actual lengths that wait for a place, by group, and the sequences filled with them."""
+
+    def __init__(self, have: list[list[list[int]]], capacity: int) -> None:
+        self.have, self.capacity = have, capacity
+        self.filled: list[tuple[list[int], int]] = []  # the actual lengths in a sequence, and how many sequences hold just these
+        self.count: Counter = Counter()
+        for group in have:
+            for length, n in group:
+                self.count[length] += n
+        self.lengths = sorted(self.count)
+
+    def longest(self, room: int, taken: Counter) -> int:
+        """The longest waiting length that fits, 0 if none does."""
+        for i in range(bisect_right(self.lengths, room) - 1, -1, -1):
+            if self.count[self.lengths[i]] > taken[self.lengths[i]]:
+                return self.lengths[i]
+        return 0
+
+    def fill(self, slots: list[int], count: int) -> None:
+        """So many sequences of a configuration: a slot takes the longest actual piece of its group, the last one the longest that fits at all.
+
+        What rounding up has left free is so given to longer pieces than the configuration asks for, and after
+        the last slot to further ones. Equal sequences are filled at once, each turn uses up a length.
+        """
+        while count > 0:
+            taken: Counter = Counter()
+            room = self.capacity
+            for k in slots[:-1]:
+                mine = next((length for length, _ in self.have[k] if self.count[length] > taken[length] and length <= room), 0) or self.longest(room, taken)
+                if mine:
+                    taken[mine] += 1
+                    room -= mine
+            while mine := self.longest(room, taken):
+                taken[mine] += 1
+                room -= mine
+            if not taken:
+                return
+            n = min([count, *(self.count[x] // t for x, t in taken.items())])
+            for x, t in taken.items():
+                self.count[x] -= n * t
+            self.filled.append((sorted(taken.elements(), reverse=True), n))
+            count -= n
+            for k in set(slots):
+                while self.have[k] and not self.count[self.have[k][0][0]]:
+                    self.have[k].pop(0)
+            self.lengths = [x for x in self.lengths if self.count[x]]
+
+
 def _finish(histogram: dict[int, int], filled: list[tuple[list[int], int]], room: int, capacity: int) -> tuple[list[tuple[int, ...]], int]:
     """Keep the sequences that actual pieces fill up to `room`; best-fit everything else, longest first."""
     out, taken = _Plan(capacity), dict.fromkeys(histogram, 0)
@@ -244,23 +281,26 @@ def packed(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = N
 
     Null and empty texts are packed too, as the end id alone; rows of equal
     doc_id are documents of their own; an empty table gives an empty result.
-    What is broadcast are the runs of equal sequences, some thousands for any input.
+    What is broadcast are the runs of equal sequences, some thousands for any
+    input, and the numbers of buckets, one for each length; the sums of the buckets
+    before one, a row for each BUCKET pieces, are joined.
     """
     spark = docs.sparkSession
     small_batches(spark)
     vocabulary = vocabulary or vocabulary_path()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     pieces = texts.mapInArrow(_cut(vocabulary, capacity), "doc_id long, piece int, start long, length long, ids_crc32 long")
-    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    pieces = staged(pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)).cast("int")), "pieces")
-    counts = staged(pieces.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n")), "counts")
-    histogram = {r["length"]: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
+    pieces = staged(pieces, "pieces")
+    histogram = {r["length"]: r.n for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     runs, _ = plan(histogram, capacity)
 
+    # a bucket for so many pieces of a length; at most `capacity` rows
+    buckets = spark.createDataFrame([(n, -(-count // BUCKET)) for n, count in histogram.items()], "length long, buckets long")
+    dealt = pieces.join(F.broadcast(buckets), "length").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("buckets"))).drop("buckets")
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    base = counts.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    base = dealt.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n")).select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     within = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32", "start")
-    ranked = pieces.withColumn("rank", F.row_number().over(within) - 1).join(base, ["length", "bucket"]).withColumn("rank", F.col("rank") + F.col("base"))
+    ranked = dealt.withColumn("rank", F.row_number().over(within) - 1).join(base, ["length", "bucket"]).withColumn("rank", F.col("rank") + F.col("base"))
     schema = "run_length long, low long, high long, first long, each long, place long"
     table = spark.createDataFrame([tuple(int(x) for x in r) for r in runs], schema)
     here = (F.col("length") == F.col("run_length")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high"))

@@ -670,6 +670,35 @@ def test_plans_are_tight():
     assert check_plan({341: 300, 340: 300, 343: 300}, 1024) <= 300 + 3  # one more for each size, from rounding the program down
 
 
+def test_configurations_carry_most_large_pieces(monkeypatch):
+    rng = np.random.default_rng(3)
+    kept, finish = {}, packing._finish
+
+    def watched(histogram, filled, room, capacity):
+        out = finish(histogram, filled, room, capacity)
+        kept.setdefault(out[1], sum(n * len(x) for x, n in filled if capacity - sum(x) <= room))
+        return out
+
+    monkeypatch.setattr(packing, "_finish", watched)
+    for lengths in (rng.integers(1, 1024, 4000), np.minimum(rng.lognormal(5.5, 0.9, 4000), 1023).astype(int)):
+        kept.clear()
+        sizes, counts = np.unique(lengths, return_counts=True)
+        histogram = dict(zip(sizes.tolist(), counts.tolist()))
+        n = check_plan(histogram, 1024)
+        best = packing._Plan(1024)
+        for length in sorted(histogram, reverse=True):
+            best.best_fit(length, 0, histogram[length])
+        assert n <= best.next and 2 * kept[n] > (lengths > 128).sum()
+
+
+def test_ranks_over_several_buckets(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BUCKET", 3)
+    docs = [(i, "same words in each") for i in range(40)] + [(None, None)] * 9
+    got = packing.packed(spark.createDataFrame(docs, DOCS), capacity=16).collect()
+    seats = {(r.sequence_id, r.offset) for r in got}
+    assert len(got) == len(docs) == len(seats) and all(r.offset + r.length <= 16 for r in got)
+
+
 def test_packing(spark, odd, library):
     got = packing.packed(odd, capacity=64).collect()
     want = []
