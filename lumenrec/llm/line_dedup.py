@@ -1,20 +1,28 @@
-"""Line dedup: passages that are repeated across the corpus, found by every pair of adjacent lines. Native Spark only.
+"""Line dedup: content-defined chunks of lines that the corpus has had before are removed. Native Spark only.
 
 A text is cut into lines and these after each sentence; blank lines go with the
-line before them. Seeds are all pairs of adjacent lines, with what parts them, and
-each line that has `min_words` words by itself. A seed depends on nothing that
-stands before or after it, so a passage of whole lines or sentences has the same
-seeds wherever it stands, its first and last line included.
-
-A seed is repeated if an earlier one (by doc_id, then place) has the same hash.
-Seeds that follow each other in both places are one segment, whose text is then
-compared byte by byte with that at the first copy. Runs of repeated text with at
-least `min_words` words are removed; the first copy of everything stays. Shorter
-repeats, such as one common line, stay too, and so do common lines in a new order.
-
-Hot seeds: counts and first places are aggregated before they are shuffled; the
+line before them. At every line a rolling hash is taken over the hashes of the line
+and of the next one, with what parts them; a line that has `min_words` words has a
+hash by itself too. A rolling hash is repeated if an earlier one (by doc_id, then
+place) equals it.
+
+Rolling hashes choose the chunks: a chunk goes on while they are repeated and their
+first places follow each other as well, and a boundary is where that ends. Since a
+rolling hash depends on nothing that stands before or after its two lines, the
+boundaries move with the text: a passage of whole lines or sentences makes the same
+chunk wherever it stands, its first and last line included. (Boundaries where a
+rolling hash has a fixed remainder, as for files, leave the lines before the first
+and after the last boundary of a passage in chunks with foreign lines: of passages
+of 55 to 80 words up to 27 in 100 then hold no whole chunk and are missed.)
+
+A chunk's text is compared byte by byte with that at its first place. Runs of
+repeated text with at least `min_words` words are removed; the first copy of
+everything stays. Shorter repeats, such as one common line, stay too, and so do
+common lines in a new order.
+
+Hot hashes: counts and first places are aggregated before they are shuffled; the
 join that marks copies is a plain equi-join that can be split, and the one that
-brings a segment's text is dealt into parts; no group is gathered. Hashes and
+brings a chunk's text is dealt into parts; no group is gathered. Hashes and
 places travel without text; texts are dealt by document, once where `docs` has no
 further columns, and of them only segments that are repeated.
 
@@ -168,21 +176,22 @@ def repeated_segments(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """docs with repeated passages of min_words words or more removed from `text`; other columns as they are."""
     segments = repeated_segments(docs.select("doc_id", "text"), min_words)
-    keyed = docs.withColumn("__text", F.xxhash64("text"))
-    here = F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__text") == F.col("__a"))
+    # the columns of docs travel as one, so that none can clash with those used here
+    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
+    here = F.col("id").eqNullSafe(F.col("doc")) & (F.col("hash") == F.col("a"))
 
     # the texts that segments must equal, from the documents that hold them first
-    wanted = segments.groupBy(F.col("f_doc").alias("__doc"), F.col("f_a").alias("__a")).agg(F.collect_set(F.struct("f_begin", "n", "parts")).alias("__wanted"))
-    pieces = keyed.select("doc_id", "text", "__text").join(wanted, here).select("__doc", "__a", "__wanted", chunks_of(F.col("text")).alias("c"))
-    pieces = pieces.select(F.col("__doc").alias("f_doc"), F.col("__a").alias("f_a"), F.inline(F.transform("__wanted", lambda w: F.struct(w["f_begin"].alias("f_begin"), w["n"].alias("n"), w["parts"].alias("parts"), _segment(F.col("c"), w["f_begin"], w["n"]).alias("same")))))
+    wanted = segments.groupBy(F.col("f_doc").alias("doc"), F.col("f_a").alias("a")).agg(F.collect_set(F.struct("f_begin", "n", "parts")).alias("wanted"))
+    pieces = docs.select(F.col("doc_id").alias("id"), "text", F.xxhash64("text").alias("hash")).join(wanted, here).select("doc", "a", "wanted", chunks_of(F.col("text")).alias("c"))
+    pieces = pieces.select(F.col("doc").alias("f_doc"), F.col("a").alias("f_a"), F.inline(F.transform("wanted", lambda w: F.struct(w["f_begin"].alias("f_begin"), w["n"].alias("n"), w["parts"].alias("parts"), _segment(F.col("c"), w["f_begin"], w["n"]).alias("same")))))
     pieces = pieces.groupBy("f_doc", "f_a", "f_begin", "n").agg(F.first("same").alias("same"), F.first("parts").alias("parts"))
     # the later copies of a segment are dealt into parts, and its first copy goes to each of them
     pieces = pieces.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts").withColumn("most", words_in(F.col("same")))
     later = segments.withColumn("part", F.pmod(F.xxhash64("doc", "a"), F.col("parts")).cast("int")).drop("parts")
     keys = [later[c].eqNullSafe(pieces[c]) for c in ("f_doc", "f_a", "f_begin", "n", "part")]
-    same = later.join(pieces, keys).select(later["doc"].alias("__doc"), later["a"].alias("__a"), later["begin"], later["n"], "same", "most")
-    same = same.groupBy("__doc", "__a").agg(F.collect_list(F.struct("begin", "n", F.col("same").alias("text"))).alias("__same"), F.sum("most").alias("most"))
+    same = later.join(pieces, keys).select(later["doc"], later["a"], later["begin"], later["n"], "same", "most")
+    same = same.groupBy("doc", "a").agg(F.collect_list(F.struct("begin", "n", F.col("same").alias("text"))).alias("same"), F.sum("most").alias("most"))
     same = same.filter(F.col("most") >= min_words).drop("most")  # with fewer words no run can be long enough
 
-    text = F.when(F.col("__same").isNull(), F.col("text")).otherwise(without_runs(chunks_of(F.col("text")), F.col("__same"), min_words))
-    return keyed.join(same, here, "left").withColumn("text", text).select(*(F.col(f"`{c}`") for c in docs.columns))
+    text = F.when(F.col("same").isNull(), F.col("row.text")).otherwise(without_runs(chunks_of(F.col("row.text")), F.col("same"), min_words))
+    return keyed.join(same, here, "left").withColumn("text", text).select(*("text" if c == "text" else F.col("row")[c].alias(c) for c in docs.columns))

@@ -211,6 +211,67 @@ def test_copies_of_the_first_document_hide_no_passage(spark):
     assert got == want
 
 
+def brute_lines(docs, min_words=50):
+    """Texts without runs of lines that all stand in repeats; a repeat is a pair of lines, or a line of min_words words, that stood before."""
+    count = lambda t: len([w for w in re.split(r"[ \t\n\x0b\f\r]+", t) if w])
+    seen, out = set(), {}
+    for doc, text in docs:
+        if not text:
+            out[doc] = text
+            continue
+        parts = [re.split(r" (?<=[.!?] )", x) for x in text.split("\n")]
+        lines = [x for p in parts for x in p]
+        ends = [e for p in parts for e in [" "] * (len(p) - 1) + ["\n"]]
+        ends[-1] = ""
+        begins = [i for i, x in enumerate(lines) if i == 0 or x.strip(" \t\n\x0b\f\r")]
+        whole = ["".join(lines[j] + ends[j] for j in range(i, k)) for i, k in zip(begins, [*begins[1:], len(lines)])]
+        repeated = []
+        for k, i in enumerate(begins):
+            keys = [(k, k + 1, lines[i])] if count(lines[i]) >= min_words else []
+            if k + 1 < len(begins):
+                keys.append((k, k + 2, whole[k] + "\0" + lines[begins[k + 1]]))
+            for first, end, key in keys:
+                if (end - first, key) in seen:
+                    repeated.append((first, end))
+                seen.add((end - first, key))
+        runs = []
+        for x, y in sorted(repeated):
+            if runs and x <= runs[-1][1]:
+                runs[-1][1] = max(runs[-1][1], y)
+            else:
+                runs.append([x, y])
+        gone = {k for x, y in runs if count("".join(whole[x:y])) >= min_words for k in range(x, y)}
+        out[doc] = "".join(w for k, w in enumerate(whole) if k not in gone)
+    return out
+
+
+def test_line_dedup_as_brute_force(spark, sf_dir):
+    docs = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect())
+    want = brute_lines(docs)
+    got = {r.doc_id: r.text for r in queries.op1_line_dedup(spark, sf_dir).collect()}
+    assert got == want and any(want[i] != t for i, t in docs)
+    first = {}
+    for i, t in docs:  # of exact copies nothing is left
+        if len(t.split()) >= 50 and first.setdefault(t, i) != i:
+            assert got[i] == ""
+
+
+def test_line_dedup_of_few_words_as_brute_force(spark):
+    rng = random.Random(15)
+    lines = ["a b c", "d.", "e f g h", "", "i! j k", " ", "l m. n o p? q"]
+    docs = [(i, "\n".join(rng.choice(lines) for _ in range(rng.randint(1, 9)))) for i in range(150)]
+    got = line_dedup.line_dedup(spark.createDataFrame(docs, DOCS), min_words=5)
+    assert {r.doc_id: r.text for r in got.collect()} == brute_lines(docs, 5)
+
+
+def test_line_dedup_keeps_any_columns(spark):
+    rows = [(i, "one line.\n" + "many words " * 40, *range(8)) for i in range(2)]
+    names = ["__text", "__doc", "a", "same", "row", "hash", "id", "x.y"]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{n}` int" for n in names))
+    got = sorted(map(tuple, line_dedup.line_dedup(docs).collect()))
+    assert got == [rows[0], (1, "", *range(8))] and line_dedup.line_dedup(docs).columns == docs.columns
+
+
 def test_line_dedup_odd_input(spark, odd):
     got = line_dedup.line_dedup(odd, min_words=5)
     assert got.columns == odd.columns
