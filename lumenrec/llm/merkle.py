@@ -69,23 +69,38 @@ def _base36(n: int) -> str:
             return out
 
 
-def _digest(data: bytes) -> str:
-    return base64.urlsafe_b64encode(blake2b(data, digest_size=6).digest()).decode()
+def _short(digest: bytes) -> str:
+    return base64.urlsafe_b64encode(digest[:6]).decode()
+
+
+def _digest(data: bytes) -> bytes:
+    return blake2b(data, digest_size=16).digest()
 
 
 def fingerprint(text: str | None) -> str:
-    """The tree of a text as a string; null counts as empty."""
-    sections, run = [], []
+    """The tree of a text as a string; null counts as empty.
+
+    Digests have 128 bits, each over those below it, so the root stands for the whole text; the string shows of
+    leaves and sections the first 48 bits.
+    """
+    sections: list[bytes] = []
+    body, run, below = [], [], []
+
+    def close() -> None:
+        sections.append(_digest(b"".join(below)))
+        body.append(f";{_short(sections[-1])}{''.join(run)}")
+        run.clear()
+        below.clear()
+
     for leaf in leaves(text or ""):
-        raw = blake2b(leaf.encode(), digest_size=6).digest()
-        run.append(f",{base64.urlsafe_b64encode(raw).decode()}{_base36(len(leaf))}")
+        raw = _digest(leaf.encode())
+        run.append(f",{_short(raw)}{_base36(len(leaf))}")
+        below.append(raw)
         if raw[0] % SECTION == 0:
-            sections.append("".join(run))
-            run = []
+            close()
     if run:
-        sections.append("".join(run))
-    body = "".join(f";{_digest(s.encode())}{s}" for s in sections)
-    return blake2b(body.encode(), digest_size=16).hexdigest() + body
+        close()
+    return _digest(b"".join(sections)).hex() + "".join(body)
 
 
 def _tree(mark: str) -> dict[str, list[tuple[str, int]]]:
@@ -174,38 +189,42 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     The edited text has its last third replaced by the first code points of the
     next document in descending doc_id order; after the last comes the first.
     Rows of equal doc_id follow each other by a hash of their text, null ids come
-    last; a null text is empty; a single row is its own next; an empty table
+    last, equal rows are next to each other; a null text is empty; a single row is its own next; an empty table
     gives an empty result; other columns are ignored.
 
-    Documents are dealt into ranges of doc_id, and the first document of each
-    range is dealt to the range before it as well, where it is looked at only;
-    so texts are shuffled once. The driver sees the ends of the ranges only.
+    Documents are dealt into ranges of doc_id and text hash, and the first document
+    of each range is dealt to the range before it as well, where it is looked at
+    only; so texts are shuffled once. The driver sees the begins of the ranges only.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    parts = 4 * max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ids = rows.select("doc_id").filter("doc_id is not null").repartitionByRange(parts, F.col("doc_id").desc())
-    tops = ids.groupBy(F.spark_partition_id().alias("p")).agg(F.max("doc_id").alias("top")).toPandas()["top"]
-    ends = -np.sort(-tops.to_numpy(np.int64))  # the first doc_id of each range, in descending order
-    nulls = rows.filter("doc_id is null").limit(1).count()
-    ranges = len(ends) + nulls
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
+    tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # ascending order of these is descending doc_id, null last, then the text's hash
+    keys = rows.select(F.col("doc_id").isNull().alias("none"), F.bitwise_not(F.coalesce("doc_id", F.lit(0))).alias("down"), "tie")
+    begins = keys.repartitionByRange(4 * tasks, "none", "down", "tie").groupBy(F.spark_partition_id().alias("p")).agg(F.min(F.struct("none", "down", "tie")).alias("k")).select("k.*").collect()
+    begins = sorted(tuple(b) for b in begins)
+    own = [(np.array([b[1] for b in begins if b[0] == none], np.int64), np.array([b[2] for b in begins if b[0] == none], np.int64)) for none in (False, True)]
+    first_null = len(own[0][0])
 
     @F.arrow_udf("int")
-    def part_of(ids: pa.Array) -> pa.Array:
-        x = ids.fill_null(0).to_numpy(zero_copy_only=False)
-        part = np.searchsorted(-ends, -x, "right") - 1
-        part[ids.is_null().to_numpy(zero_copy_only=False)] = len(ends)
+    def part_of(none: pa.Array, down: pa.Array, tie: pa.Array) -> pa.Array:
+        none, down, tie = (c.to_numpy(zero_copy_only=False) for c in (none, down, tie))
+        part = np.zeros(len(none), np.int64)
+        for kind in (False, True):
+            mine = np.flatnonzero(none == kind)
+            ids, ties = own[kind]
+            low, high = np.searchsorted(ids, down[mine], "left"), np.searchsorted(ids, down[mine], "right")
+            for i in np.flatnonzero(high > low):  # a document with rows in several ranges
+                low[i] += np.searchsorted(ties[low[i] : high[i]], tie[mine[i]], "right")
+            part[mine] = low - 1 + (first_null if kind else 0)
         return pa.array(part, pa.int32())
 
-    dealt = rows.withColumn("part", part_of("doc_id")).withColumn("tie", F.xxhash64("text"))
-    heads = spark.createDataFrame([(int(x), i) for i, x in enumerate(ends)], "top long, p int") if len(ends) else None
-    first = F.col("doc_id").isNull() if heads is None else F.col("top").isNotNull() | F.col("doc_id").isNull()
-    if heads is not None:
-        dealt = dealt.join(F.broadcast(heads.select("top")), F.col("doc_id") == F.col("top"), "left")
-    both = F.when(first, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    dealt = rows.withColumn("none", F.col("doc_id").isNull()).withColumn("down", F.bitwise_not(F.coalesce("doc_id", F.lit(0)))).withColumn("part", part_of("none", "down", "tie"))
+    heads = spark.createDataFrame([(*b, True) for b in begins], "none boolean, down long, tie long, first boolean")
+    dealt = dealt.join(F.broadcast(heads), ["none", "down", "tie"], "left")
+    both = F.when(F.col("first"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
     dealt = dealt.select("part", "tie", "doc_id", "text", F.explode(both).alias("look"))
-    dealt = dealt.withColumn("part", F.when(F.col("look") == 1, F.pmod(F.col("part") - 1, F.lit(max(ranges, 1)))).otherwise(F.col("part")))
-    order = ["part", "look", F.col("doc_id").desc_nulls_last(), "tie", "text"]
-    dealt = dealt.repartition(max(1, parts // 4), "part").sortWithinPartitions(*order)
+    dealt = dealt.withColumn("part", F.when(F.col("look") == 1, F.pmod(F.col("part") - 1, F.lit(max(len(begins), 1)))).otherwise(F.col("part")))
+    dealt = dealt.repartitionById(tasks, F.col("part")).sortWithinPartitions("part", "look", F.col("doc_id").desc_nulls_last(), "tie", "text")
     return dealt.select("part", "look", "doc_id", "text").mapInArrow(_walk, SCHEMA)

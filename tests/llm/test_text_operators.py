@@ -797,17 +797,46 @@ def test_edits_are_located():
     assert 0.95 < merkle.likeness(x, y) < 1 and merkle.likeness(x, merkle.fingerprint("other text")) == 0
 
 
-def test_fingerprints_as_brute_force(spark, sf_dir, odd):
-    docs = sorted(((r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()), reverse=True)
-    want = {}
+def brute_likeness(a, b):
+    """Twice the code points of the leaves that both have, by how often each is there, of all."""
+    from collections import Counter
+
+    x, y = Counter(merkle.leaves(a)), Counter(merkle.leaves(b))
+    size = len(a) + len(b)
+    return 1.0 if a == b else 2 * sum(len(leaf) * n for leaf, n in (x & y).items()) / size if size else 1.0
+
+
+def brute_fingerprints(docs):
+    """docs: (doc_id, text) in the order of the walk."""
+    out = []
     for n, (i, text) in enumerate(docs):
-        after = docs[(n + 1) % len(docs)][1]
+        text, after = text or "", docs[(n + 1) % len(docs)][1] or ""
         k = len(text) // 3
         edited = text[: len(text) - k] + after[:k]
-        x, y, z = (merkle.fingerprint(t) for t in (text, edited, after))
-        want[i] = (len(text), hashlib.sha256(edited.encode()).hexdigest(), x, y, merkle.likeness(x, y), merkle.likeness(x, z))
-    assert {r[0]: tuple(r[1:]) for r in queries.op9_fingerprints(spark, sf_dir).collect()} == want
+        out.append((i, len(text), hashlib.sha256(edited.encode()).hexdigest(), merkle.fingerprint(text), merkle.fingerprint(edited), pytest.approx(brute_likeness(text, edited)), pytest.approx(brute_likeness(text, after))))
+    return out
+
+
+def test_fingerprints_as_brute_force(spark, sf_dir):
+    docs = sorted(((r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()), reverse=True)
+    got = {r[0]: tuple(r) for r in queries.op9_fingerprints(spark, sf_dir).collect()}
+    assert [got[i] for i, _ in docs] == brute_fingerprints(docs) and len(got) == len(docs)
+
+
+def test_fingerprints_odd_input(spark, odd):
+    from pyspark.sql import functions as F
+
+    many = [(7, f"row {i} of one id") for i in range(60)] + [(None, f"{i}") for i in range(40)] + ODD
+    docs = spark.createDataFrame(many, DOCS)
+    order = docs.orderBy(F.col("doc_id").desc_nulls_last(), F.xxhash64(F.coalesce("text", F.lit(""))))
+    want = brute_fingerprints(list(map(tuple, order.collect())))
+    got = sorted(map(tuple, merkle.fingerprints(docs).collect()), key=str)
+    assert got == sorted(want, key=lambda r: str((*r[:5], r[5].expected, r[6].expected)))
     assert merkle.fingerprints(odd).count() == len(ODD) and merkle.fingerprints(odd.limit(0)).count() == 0
+    one = merkle.fingerprints(docs.filter("doc_id = 6")).collect()
+    assert len(one) == 1 and one[0].near_next == 1
+    a, b = merkle.fingerprint("a. b\n"), merkle.fingerprint("a. b\n")
+    assert a == b and a[:32] != merkle.fingerprint("a. c\n")[:32] and merkle.fingerprint(None) == merkle.fingerprint("")
 
 
 # --- the pipeline -----------------------------------------------------------------------------------
