@@ -85,5 +85,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    """None: sketches, learned models, parsers and tokenizers are not SQL; each query is tested against brute force."""
+    """None: sketches, learned models, parsers and tokenizers are not SQL; tests/llm holds them against plain Python."""
     return {}

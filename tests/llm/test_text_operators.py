@@ -857,3 +857,60 @@ def test_pipeline(spark, sf_dir):
     assert packed.select("doc_id").distinct().count() == seen
     assert packed.groupBy("sequence_id").sum("length").filter("`sum(length)` > 1024").count() == 0
     assert sorted(map(tuple, queries.pipeline(spark, sf_dir).select("doc_id", "piece", "ids_crc32").collect())) == sorted(map(tuple, packed.select("doc_id", "piece", "ids_crc32").collect()))
+
+
+def brute_contaminated(text, items):
+    own = decontaminate.item_words(text)
+    return any(len(w) and decontaminate.distance(w, own) <= int(0.2 * len(w)) for w in items)
+
+
+def test_pipeline_stages_as_brute_force(spark, sf_dir):
+    import corpus_pipeline
+    from lumenrec.llm.common import staged
+
+    stages = dict(corpus_pipeline.STAGES)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    rows = {r.doc_id: r.text for r in docs.collect()}
+
+    def after(name, docs):
+        out = staged(stages[name](spark, docs, sf_dir), name)
+        return out, {r.doc_id: r.text for r in out.collect()}
+
+    stems, weights = toxicity.train(docs, labels, ~toxicity.held_out(4, 2))
+    scan = toxicity.Scanner(stems)
+    docs, got = after("toxicity", docs)
+    rows = {i: t for i, t in rows.items() if 1 / (1 + np.exp(-np.clip(weights[0] + scan(t) @ weights[1:], -30, 30))) < toxicity.THRESHOLD}
+    assert got == rows
+    docs, got = after("line_dedup", docs)
+    rows = {i: t for i, t in brute_lines(sorted(rows.items())).items() if t.strip() or not rows[i].strip()}
+    assert got == rows
+    docs, got = after("near_dedup", docs)
+    kept = {i for i, _, _, keep in brute_components(rows.items(), 5, 80) if keep}
+    rows = {i: t for i, t in rows.items() if i in kept}
+    assert got == rows
+    items = [decontaminate.item_words(r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    docs, got = after("decontaminate", docs)
+    rows = {i: t for i, t in rows.items() if not brute_contaminated(t, items)}
+    assert got == rows
+
+
+def test_pipeline_stages_on_odd_input(spark, tmp_path):
+    import corpus_pipeline
+
+    rows = [(i, t, "en", "s", None if t is None else len(t), *range(6)) for i, t in ODD]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, had int, gone int, `__had` int, part int, score int, length int"
+    docs = spark.createDataFrame(rows, schema)
+    spark.createDataFrame([(1, None, None), (None, 1, 1), (4, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, None), (2, ""), (None, "nothing of this is there")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for table in (docs, docs.limit(0)):
+        n, ids = table.count(), None
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, table, str(tmp_path))
+            assert out.columns == docs.columns
+            ids = rows_of(out.select("doc_id", "text"))
+            kept = {(None, "a b c d e"), (1, None), (2, ""), (3, " \n\t "), (4, "same words here as there"), (6, "x" * 5000)}
+            # copies of fewer than 50 words are no passage, but they are near duplicates
+            assert len(ids) == (n if name != "near_dedup" else n and n - 1) and (not n or kept <= set(ids))
+        packed = corpus_pipeline.STAGES[-1][1](spark, table, str(tmp_path))
+        assert packed.select("doc_id").distinct().count() == (n and 7)
