@@ -1,4 +1,9 @@
-"""The log of a chat front end: first-seen registration, typed split, appends."""
+"""The log of a chat front end: first-seen registration, typed split, appends.
+
+Odd input: of events with the same order one is taken; a null key is a key like any
+other, but is inserted anew each time, as it equals nothing; kinds without a target,
+null included, are left out; an empty batch adds nothing.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,10 @@
-"""Cleaning a catalogue: dropping columns, sentinels, missing values, type inference, joins that keep keys honest."""
+"""Cleaning a catalogue: dropping columns, sentinels, missing values, type inference, joins that keep keys honest.
+
+Odd input: columns that are not there are not dropped; nulls stay null unless a
+function fills them; an empty table gives an empty result, and its text columns
+count as numbers, as all of their values cast; null keys match nothing and are no
+repeats; of several rows that `lookup` could return it takes one of the least position.
+"""
 
 from __future__ import annotations
 
@@ -43,6 +49,8 @@ def prefer(df: DataFrame, first: str, second: str, name: str) -> DataFrame:
 def uncastable(df: DataFrame) -> DataFrame:
     """column_name, n_bad: how many values of each text column do not cast to a number. One pass over the data."""
     texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    if not texts:
+        return df.sparkSession.createDataFrame([], "column_name string, n_bad long")
     bad = [F.count_if(F.col(f"`{c}`").isNotNull() & F.col(f"`{c}`").try_cast("double").isNull()).alias(c) for c in texts]
     pairs = ", ".join(f"'{c}', `{c}`" for c in texts)
     return df.agg(*bad).selectExpr(f"stack({len(texts)}, {pairs}) as (column_name, n_bad)")
@@ -68,7 +76,7 @@ def join_inner(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
 def join_left(left: DataFrame, right: DataFrame, on: str, unique: bool = True) -> DataFrame:
     """Left join; a right side with repeated keys would add rows, so `unique` makes it an error."""
     if unique:
-        twice = right.groupBy(on).count().filter("count > 1").select(on).first()
+        twice = right.filter(F.col(on).isNotNull()).groupBy(on).count().filter("count > 1").select(on).first()
         if twice:
             raise ValueError(f"{on} {twice[0]} is not unique on the right side")
     return left.join(right, on, "left")
@@ -80,6 +88,8 @@ def lookup(df: DataFrame, column: str, value: object, position: str) -> DataFram
 
 
 def impute_normal(df: DataFrame, column: str, seed: int = 22) -> DataFrame:
-    """Missing values replaced by draws from a normal distribution with the column's mean and deviation."""
+    """Missing values replaced by draws from a normal distribution with the column's mean and deviation; a column without values stays as it is."""
     mean, std = df.agg(F.avg(column), F.stddev_samp(column)).first()
+    if mean is None:
+        return df
     return df.withColumn(column, F.coalesce(F.col(column), F.randn(seed) * F.lit(std or 0.0) + F.lit(mean)))

@@ -19,6 +19,7 @@ START = "Start"
 TITLE, CHOICE, FEEDBACK = "ReceiveAnimeName", "ReceiveUserChoice", "ReceiveUserFeedback"
 MORE, GIVE, EXIT = "More Recommendations", "Feedback", "Exit the dialog :("
 NONE, CHOOSING, REPLY, OVER = "NONE", "CHOOSING", "TYPING_REPLY", "END"
+RATE = "rate anime"
 MENU = re.compile(r"^(Rate anime|Evaluate the recommendation)$")
 
 Machine = Callable[[str, str | None, str | None], tuple[str, str]]
@@ -52,7 +53,9 @@ def feedback_dialogue(state: str, text: str | None, button: str | None) -> tuple
     if text.startswith("/"):
         return state, "command"
     if state == CHOOSING:
-        return (REPLY, "prompt") if MENU.match(text) else (state, "search")
+        if not MENU.match(text):
+            return state, "search"
+        return REPLY, "ask_rating" if text.lower() == RATE else "ask_evaluation"
     return CHOOSING, "store"
 
 

@@ -1,9 +1,14 @@
-"""Approximate title matching: Ratcliff-Obershelp similarity of at least 0.6, three best for each request."""
+"""Approximate title matching: Ratcliff-Obershelp similarity of at least 0.6, three best for each request.
+
+Odd input: null requests and titles match nothing; a repeated request is answered once; an empty table on either side
+gives no match; ties go to the title that sorts last; other columns are ignored.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -20,10 +25,10 @@ def close_titles(requests: DataFrame, titles: DataFrame, cutoff: float = CUTOFF,
     """
     spark = titles.sparkSession
     distinct = titles.filter("title is not null").groupBy("title").agg(F.count(F.lit(1)).alias("copies"))
-    wanted = [r.request for r in requests.filter("request is not null").distinct().toLocalIterator()]
+    wanted = (r.request for r in requests.filter("request is not null").distinct().toLocalIterator())
     out = None
-    for i in range(0, len(wanted), BLOCK):
-        block = spark.sparkContext.broadcast(wanted[i : i + BLOCK])
+    while some := list(islice(wanted, BLOCK)):
+        block = spark.sparkContext.broadcast(some)
 
         def run(batches: Iterator[pd.DataFrame], block=block) -> Iterator[pd.DataFrame]:
             for batch in batches:

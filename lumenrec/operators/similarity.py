@@ -3,6 +3,11 @@
 Queries come to the workers in blocks of at most BLOCK vectors, each block a pass
 over all vectors, multiplied in batches. For top-k a worker keeps the k best of
 each query, so k rows for each query and task are shuffled, never all pairs.
+
+Odd input: rows without a vector are compared with nothing; a zero vector is at
+cosine 0 to all; ties go to the smaller key; equal rows are items of their own; an
+empty table on either side gives an empty result; other columns are ignored, or
+kept where they are asked for.
 """
 
 from __future__ import annotations
@@ -38,7 +43,7 @@ def _stack(column: pd.Series) -> np.ndarray:
 
 def _blocks(queries: DataFrame, key: str, vector: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     ids, block = [], []
-    for row in queries.select(key, vector).toLocalIterator():
+    for row in queries.filter(F.col(vector).isNotNull()).select(key, vector).toLocalIterator():
         ids.append(row[0])
         block.append(row[1])
         if len(ids) == BLOCK:
@@ -71,7 +76,7 @@ def _against(items: DataFrame, queries: DataFrame, key: str, vector: str, metric
             if best_m.size:
                 yield pd.DataFrame({"q": np.repeat(ids, best_m.shape[1]), "m": best_m.ravel(), "sim": best_s.ravel()})
 
-        part = items.select(key, vector).mapInPandas(run, "q long, m long, sim double")
+        part = items.filter(F.col(vector).isNotNull()).select(key, vector).mapInPandas(run, "q long, m long, sim double")
         out = part if out is None else out.unionByName(part)
     return spark.createDataFrame([], "q long, m long, sim double") if out is None else out
 
@@ -102,8 +107,8 @@ def cosine_to(vector: Column, query: list[float]) -> Column:
     return F.when(norms == 0, F.lit(0.0)).otherwise(dot(vector, q) / norms)
 
 
-def recommend(catalogue: DataFrame, queries: DataFrame, n: int = 5, exclude_self: bool = False) -> DataFrame:
-    """q, pos, vec_id, title, score, year: of ranks 2 to 100 the items of the query's cluster, by score and year.
+def recommend(catalogue: DataFrame, queries: DataFrame, n: int = 5, exclude_self: bool = False, extra: tuple[str, ...] = ()) -> DataFrame:
+    """q, pos, vec_id, title, score, year and the extra columns: of ranks 2 to 100 the items of the query's cluster, by score and year.
 
     The cluster filter stands above the rank cut, so fewer than n may be left.
     catalogue: vec_id, embedding, cluster, title, score, year.
@@ -112,7 +117,7 @@ def recommend(catalogue: DataFrame, queries: DataFrame, n: int = 5, exclude_self
     own = queries.select(F.col("vec_id").alias("q"), F.col("cluster").alias("q_cluster"))
     found = near.join(catalogue.drop("embedding"), F.col("m") == F.col("vec_id")).join(own, "q").filter("cluster = q_cluster")
     order = Window.partitionBy("q").orderBy(F.desc_nulls_last("score"), F.desc_nulls_last("year"), "rank")
-    return found.withColumn("pos", F.row_number().over(order)).filter(F.col("pos") <= n).select("q", F.col("pos").cast("int").alias("pos"), "vec_id", "title", "score", "year")
+    return found.withColumn("pos", F.row_number().over(order)).filter(F.col("pos") <= n).select("q", F.col("pos").cast("int").alias("pos"), "vec_id", "title", "score", "year", *extra)
 
 
 def recommend_by_title(catalogue: DataFrame, title: str, n: int = 5) -> DataFrame:
@@ -123,10 +128,18 @@ def recommend_by_title(catalogue: DataFrame, title: str, n: int = 5) -> DataFram
     return recommend(catalogue, query, n)
 
 
+# The reply for a recommendation.
+REPLY = "%d. %s\nScore: %s\nYear: %s\nType: %s\nEpisodes: %s\nDescription:\n%s\n"
+
+
 def replies(recommended: DataFrame) -> DataFrame:
-    """The line that a chat user sees for each recommendation."""
-    line = F.format_string("%d. %s, score %s, year %s", "pos", "title", F.coalesce(F.col("score").cast("string"), F.lit("?")), F.coalesce(F.col("year").cast("int").cast("string"), F.lit("?")))
-    return recommended.withColumn("line", line)
+    """What a chat user sees for each recommendation, in `line`; recommended has the extra columns type, episodes and synopsis.
+
+    Episodes are shown as a whole number, its fraction cut off; what is missing is a question mark.
+    """
+    whole = {"year": F.col("year").cast("int"), "episodes": F.col("episodes").cast("int")}
+    shown = [F.coalesce(whole.get(c, F.col(c)).cast("string"), F.lit("?")) for c in ("title", "score", "year", "type", "episodes", "synopsis")]
+    return recommended.withColumn("line", F.format_string(REPLY, "pos", *shown))
 
 
 def clusters(df: DataFrame, vector: str, k: int = 20, seed: int = 22) -> DataFrame:

@@ -1,4 +1,9 @@
-"""Descriptive statistics and the data behind figures, as tidy frames."""
+"""Descriptive statistics and the data behind figures, as tidy frames.
+
+Odd input: missing values are left out of every statistic; a column without values
+has n = 0 and null statistics; an empty table gives the rows that its columns give;
+ties have no order where none is stated; other columns are ignored.
+"""
 
 from __future__ import annotations
 
@@ -22,8 +27,13 @@ def null_fraction(df: DataFrame) -> DataFrame:
     return unpivot(row, df.columns, ["fraction"]).orderBy("fraction", "column_name")
 
 
-def quantile(column: Column, q: float, exact: bool) -> Column:
-    return F.percentile(column, F.lit(q)) if exact else F.percentile_approx(column, F.lit(q), F.lit(10000))
+QUARTILES = (0.25, 0.5, 0.75)
+
+
+def quartiles(column: Column, exact: bool) -> Column:
+    """The three quartiles as an array, from one buffer."""
+    q = F.array(*map(F.lit, QUARTILES))
+    return F.percentile(column, q) if exact else F.percentile_approx(column, q, F.lit(10000))
 
 
 def describe(df: DataFrame, columns: list[str], exact: bool = True) -> DataFrame:
@@ -34,8 +44,10 @@ def describe(df: DataFrame, columns: list[str], exact: bool = True) -> DataFrame
     """
     parts = {"n": F.count, "mean": F.avg, "std": F.stddev_samp, "low": F.min, "high": F.max}
     aggs = [f(F.col(c).cast("double")).alias(f"{c}__{p}") for c in columns for p, f in parts.items()]
-    aggs += [quantile(F.col(c).cast("double"), q, exact).cast("double").alias(f"{c}__{p}") for c in columns for p, q in (("q25", 0.25), ("q50", 0.5), ("q75", 0.75))]
-    return unpivot(df.agg(*aggs), columns, ["n", "mean", "std", "low", "q25", "q50", "q75", "high"])
+    aggs += [quartiles(F.col(c).cast("double"), exact).alias(f"{c}__q") for c in columns]
+    row = df.agg(*aggs)
+    row = row.withColumns({f"{c}__{p}": F.get(F.col(f"{c}__q"), F.lit(i)).cast("double") for c in columns for i, p in enumerate(("q25", "q50", "q75"))})
+    return unpivot(row, columns, ["n", "mean", "std", "low", "q25", "q50", "q75", "high"])
 
 
 def info(df: DataFrame) -> DataFrame:
@@ -67,7 +79,7 @@ def mean_by(df: DataFrame, by: str, column: str) -> DataFrame:
 def boxplot(df: DataFrame, column: str, exact: bool = True) -> DataFrame:
     """Quartiles, whiskers within 1.5 interquartile ranges, outliers."""
     c = F.col(column).cast("double")
-    q = df.agg(*(quantile(c, p, exact).alias(n) for n, p in (("q1", 0.25), ("q2", 0.5), ("q3", 0.75))))
+    q = df.agg(quartiles(c, exact).alias("q")).select(*(F.get("q", F.lit(i)).alias(f"q{i + 1}") for i in range(3)))
     low, high = F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")), F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))
     inside = c.between(low, high)
     both = df.select(column).join(F.broadcast(q))  # a single row

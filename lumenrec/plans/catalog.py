@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import chatlog, clean, dialogue, features, fuzzy, similarity, stats
-from ..sources.files import run_sql, table
+from ..sources.files import read_csv, run_sql, table, with_row_id, work_path, write_csv
 from ..streaming import streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,6 +60,10 @@ def _marked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.sentinel_to_null(_parts(spark, sf_dir), SENTINEL)
 
 
+def _genres() -> Column:
+    return S.split_list(F.col("p_name"), " ")
+
+
 # --- projections, filters, missing values ------------------------------------
 
 
@@ -106,6 +110,33 @@ def filter_project(spark, sf_dir):
     return _parts(spark, sf_dir).filter("p_size > 40 and p_type in ('SMALL', 'LARGE')").select("p_partkey", "p_type")
 
 
+@query("SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice, l_discount FROM lineitem")
+def drop_family(spark, sf_dir):
+    """A generated family of columns beside those that stay."""
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount")
+    return clean.drop_family(rows.withColumns({f"score-{i}": F.col("l_quantity") * i for i in range(1, 11)}), "score-", 1, 10)
+
+
+@query("SELECT p_partkey, " + ", ".join(f"CAST(list_contains(string_split(p_name, ' '), '{g}') AS INTEGER) AS {g}" for g in GENRES[3:9]) + " FROM part")
+def label_slice(spark, sf_dir):
+    marked = features.onehot(_parts(spark, sf_dir).select("p_partkey", "p_name"), _genres(), GENRES)
+    return marked.select("p_partkey", *clean.label_slice(marked, GENRES[3], GENRES[8]))
+
+
+@query("SELECT 'numeric' AS kind, unnest(['l_quantity', 'l_extendedprice', 'l_discount', 'l_tax', 'l_partkey', 'l_suppkey', 'l_linenumber']) AS column_name UNION ALL SELECT 'categorical', unnest(['l_returnflag', 'l_linestatus'])")
+def column_classes(spark, sf_dir):
+    numeric, rest = clean.column_classes(table(spark, sf_dir, "lineitem"), "l_orderkey", {"l_shipdate"})
+    return spark.createDataFrame([("numeric", c) for c in numeric] + [("categorical", c) for c in rest], "kind string, column_name string")
+
+
+@query("SELECT p_partkey, p_name, p_brand, p_type, p_size, p_retailprice FROM part")
+def csv_round_trip(spark, sf_dir):
+    path = work_path(spark, "csv")
+    rows = _parts(spark, sf_dir).select("p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice")
+    write_csv(rows, path)
+    return read_csv(spark, path, rows.schema)
+
+
 # --- joins --------------------------------------------------------------------
 
 
@@ -189,10 +220,6 @@ def tokenize(spark, sf_dir):
 # --- vocabulary, indicators, vectors -------------------------------------------
 
 
-def _genres() -> Column:
-    return S.split_list(F.col("p_name"), " ")
-
-
 @query("SELECT DISTINCT unnest(string_split(p_name, ' ')) AS genre FROM part")
 def genre_vocab(spark, sf_dir):
     return features.vocabulary(_parts(spark, sf_dir), _genres())
@@ -283,9 +310,36 @@ def recommend_top5(spark, sf_dir):
     return similarity.recommend(catalogue, _queries_of(catalogue))
 
 
+@query(f"""
+SELECT q, pos, vec_id, CAST(pos AS VARCHAR) || '. ' || title || chr(10) || 'Score: ' || coalesce(CAST(score AS VARCHAR), '?') || chr(10) || 'Year: ' || coalesce(CAST(year AS VARCHAR), '?') || chr(10)
+|| 'Type: ' || p_type || chr(10) || 'Episodes: ' || CAST(p_size AS VARCHAR) || chr(10) || 'Description:' || chr(10) || p_brand || chr(10) AS line
+FROM ({_SQL["recommend_top5"]}) JOIN part ON p_partkey = vec_id""")
+def reply_rows(spark, sf_dir):
+    catalogue = _with_details(spark, sf_dir)
+    told = similarity.recommend(catalogue, _queries_of(catalogue), extra=("type", "episodes", "synopsis")).filter("title is not null")
+    return similarity.replies(told).select("q", "pos", "vec_id", "line")
+
+
+def _with_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalogue with type, episodes (with a fraction, which a reply cuts off) and text."""
+    details = _parts(spark, sf_dir).select(F.col("p_partkey").alias("vec_id"), F.col("p_type").alias("type"), (F.col("p_size") + 0.7).alias("episodes"), F.col("p_brand").alias("synopsis"))
+    return _catalogue(spark, sf_dir).join(details, "vec_id", "left")
+
+
 @query()
 def kmeans_assign(spark, sf_dir):
-    return similarity.clusters(table(spark, sf_dir, "embeddings"), "embedding").select("vec_id", "cluster")
+    items = features.onehot(_parts(spark, sf_dir).select("p_partkey", "p_name"), _genres(), GENRES)
+    marked = items.select("p_partkey", F.array(*(F.col(g).cast("double") for g in GENRES)).alias("marks"))
+    return similarity.clusters(marked, "marks").select("p_partkey", "cluster")
+
+
+@query("""
+SELECT p_partkey, vec_id, label, CAST(row_id AS BIGINT) AS row_id FROM (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) - 1 AS row_id FROM part)
+JOIN (SELECT vec_id, label, row_number() OVER (ORDER BY vec_id) - 1 AS row_id FROM embeddings) USING (row_id)""")
+def positional_join(spark, sf_dir):
+    left = with_row_id(_parts(spark, sf_dir).select("p_partkey"), "p_partkey")
+    right = with_row_id(table(spark, sf_dir, "embeddings").select("vec_id", "label"), "vec_id")
+    return left.join(right, "row_id")
 
 
 @query()
@@ -381,19 +435,19 @@ def pair_points(spark, sf_dir):
 _GRID = """
 WITH o AS (SELECT count(*) AS n, min(p_retailprice) - 3 * stddev_samp(p_retailprice) * pow(count(*), -0.2) AS low,
 max(p_retailprice) + 3 * stddev_samp(p_retailprice) * pow(count(*), -0.2) AS high FROM part),
-g AS (SELECT n, low + (high - low) * i / 19 AS x FROM o, range(20) t(i))"""
+g AS (SELECT n, low + (high - low) * i / 199 AS x FROM o, range(200) t(i))"""
 
 
 @query(_GRID + """, w AS (SELECT stddev_samp(p_retailprice) * pow(count(*), -0.2) AS h FROM part)
 SELECT round(x, 4) AS x, round(sum(exp(-0.5 * pow((x - p_retailprice) / h, 2))) / (h * sqrt(2 * pi()) * n), 8) AS y FROM part, g, w GROUP BY x, h, n""")
 def kde(spark, sf_dir):
-    return rounded(rounded(stats.density(_parts(spark, sf_dir), "p_retailprice", points=20), 4, "x"), 8, "y")
+    return rounded(rounded(stats.density(_parts(spark, sf_dir), "p_retailprice"), 4, "x"), 8, "y")
 
 
 @query(_GRID + """, w AS (SELECT p_type, stddev_samp(p_retailprice) * pow(count(*), -0.2) AS h FROM part GROUP BY p_type)
 SELECT p_type, round(x, 4) AS x, round(sum(exp(-0.5 * pow((x - p_retailprice) / h, 2))) / (h * sqrt(2 * pi()) * n), 8) AS y FROM part JOIN w USING (p_type), g GROUP BY p_type, x, h, n""")
 def kde_by_category(spark, sf_dir):
-    return rounded(rounded(stats.density(_parts(spark, sf_dir), "p_retailprice", by="p_type", points=20), 4, "x"), 8, "y")
+    return rounded(rounded(stats.density(_parts(spark, sf_dir), "p_retailprice", by="p_type"), 4, "x"), 8, "y")
 
 
 # --- events, dialogues, streams -----------------------------------------------------
@@ -448,7 +502,7 @@ def sql_passthrough(spark, sf_dir):
 
 @query("SELECT event_id, user_id, event_type, value FROM events")
 def stream_append(spark, sf_dir):
-    path = streams.work_path(spark, "append")
+    path = work_path(spark, "append")
     stream = streams.event_stream(spark, sf_dir).select("event_id", "user_id", "event_type", "value")
     streams.stream_append(stream, path)
     return spark.read.parquet(path)
@@ -456,22 +510,50 @@ def stream_append(spark, sf_dir):
 
 @query("SELECT user_id, arg_min(event_id, (ts, event_id)) AS event_id FROM events GROUP BY user_id")
 def stream_dedup(spark, sf_dir):
-    path = streams.work_path(spark, "users")
+    path = work_path(spark, "users")
     streams.stream_register(streams.event_stream(spark, sf_dir).select("user_id", "event_id", "ts"), path, "user_id", ["ts", "event_id"])
     return spark.read.parquet(path).select("user_id", "event_id")
 
 
 @query("SELECT event_id, user_id, CASE event_type WHEN 'purchase' THEN 'feedback' ELSE 'request' END AS target FROM events WHERE event_type IN ('purchase', 'click')")
 def stream_split(spark, sf_dir):
-    folder = streams.work_path(spark, "split")
+    folder = work_path(spark, "split")
     streams.stream_split(streams.event_stream(spark, sf_dir), "event_type", {"purchase": "feedback", "click": "request"}, folder)
     parts = [spark.read.parquet(f"{folder}/{t}").select("event_id", "user_id", F.lit(t).alias("target")) for t in ("feedback", "request")]
     return parts[0].unionByName(parts[1])
 
 
+@query()
+def stream_candidates(spark, sf_dir):
+    """Every hundredth event asks for a title, the name of a part with its first two letters swapped."""
+    path, name = work_path(spark, "candidates"), F.col("p_name")
+    asked = F.concat(F.substring(name, 2, 1), F.substring(name, 1, 1), F.substr(name, F.lit(3)))
+    names = _parts(spark, sf_dir).select(F.col("p_partkey").alias("user_id"), asked.alias("request"))
+    requests = streams.event_stream(spark, sf_dir).filter("event_id % 100 = 0").join(names, "user_id")
+    streams.stream_candidates(requests, _parts(spark, sf_dir).select(name.alias("title")), path)
+    return spark.read.parquet(path).drop("batch_id")
+
+
+@query(f"""
+WITH c AS (SELECT min(p_partkey) AS q, p_name FROM part JOIN embeddings ON vec_id = p_partkey GROUP BY p_name),
+a AS (SELECT event_id, user_id, c.q FROM events JOIN part ON p_partkey = user_id JOIN c USING (p_name) WHERE event_id % 100 = 0),
+p AS (SELECT q.vec_id AS q, i.vec_id AS m, round(coalesce(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(i.embedding AS DOUBLE[])), 0), 12) AS sim FROM embeddings q, embeddings i WHERE q.vec_id IN (SELECT q FROM a)),
+r AS (SELECT q, m, row_number() OVER (PARTITION BY q ORDER BY sim DESC, m) AS rank FROM p)
+SELECT event_id, user_id, CAST(pos AS INTEGER) AS pos, vec_id FROM a JOIN (
+  SELECT r.q, i.vec_id, row_number() OVER (PARTITION BY r.q ORDER BY p_retailprice DESC NULLS LAST, p_size DESC NULLS LAST, r.rank) AS pos
+  FROM r JOIN embeddings i ON r.m = i.vec_id JOIN embeddings o ON r.q = o.vec_id AND i.label = o.label LEFT JOIN part ON p_partkey = i.vec_id WHERE r.rank BETWEEN 2 AND 100) USING (q) WHERE pos <= 5""")
+def stream_recommend(spark, sf_dir):
+    """Every hundredth event chooses the name of a part."""
+    path = work_path(spark, "replies")
+    names = _parts(spark, sf_dir).select(F.col("p_partkey").alias("user_id"), F.col("p_name").alias("title"))
+    choices = streams.event_stream(spark, sf_dir).filter("event_id % 100 = 0").join(names, "user_id").select("event_id", "user_id", "title")
+    streams.stream_recommendations(choices, _with_details(spark, sf_dir), path)
+    return spark.read.parquet(path).select("event_id", "user_id", "pos", "vec_id")
+
+
 @query(_DIALOGUE_SQL)
 def stream_fsm(spark, sf_dir):
-    path = streams.work_path(spark, "dialogue")
+    path = work_path(spark, "dialogue")
     events = streams.dialogue_events(streams.event_stream(spark, sf_dir), TEXTS)
     streams.stream_dialogue(events, dialogue.recommendation_dialogue, dialogue.START, path)
     return spark.read.parquet(path).drop("action")

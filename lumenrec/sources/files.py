@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import os
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,6 +20,18 @@ MESSAGES = "tg_id BIGINT, msg STRING"
 TABLES = {"users": USERS, "users_requests": REQUESTS, "users_feedbacks": FEEDBACKS, "request": MESSAGES, "feedback": MESSAGES}
 
 
+def work_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the folder of spark.checkpoint.dir; only a local session without it gets a folder of its own."""
+    conf = spark.sparkContext.getConf()
+    root = conf.get("spark.checkpoint.dir")
+    if not root:
+        master = conf.get("spark.master", "local")
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = os.environ.get("LUMENREC_WORK") or os.environ.setdefault("LUMENREC_WORK", tempfile.mkdtemp(prefix="lumenrec-"))
+    return f"{root.rstrip('/')}/work/{name}-{uuid.uuid4().hex}"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -47,12 +63,29 @@ def read_word_vectors(spark: SparkSession, path: str, dimensions: int) -> DataFr
 
 
 def with_row_id(df: DataFrame, key: str, name: str = "row_id") -> DataFrame:
-    """Dense positions 0..n-1 in the order of a stable key, without one task for all rows.
+    """Dense positions 0..n-1 in the order of a stable key, without one task for all rows; nulls come first.
 
-    Rows are sorted into ranges of the key; the driver adds up the ranges' sizes.
+    Rows are sorted into ranges of the key and numbered within each range as they are
+    written; a row's position is its number after the sizes of the ranges before it,
+    of which there is one for each task.
     """
-    schema = T.StructType([*df.schema.fields, T.StructField(name, T.LongType(), False)])
-    return df.sparkSession.createDataFrame(df.orderBy(key).rdd.zipWithIndex().map(lambda p: (*p[0], p[1])), schema)
+    if name in df.columns:
+        raise ValueError(f"{name} is a column already")
+    spark, path = df.sparkSession, work_path(df.sparkSession, "rows")
+    # the id's upper bits number the range, the lower ones count within it
+    df.repartitionByRange(key).sortWithinPartitions(key).withColumn(name, F.monotonically_increasing_id()).write.parquet(path)
+    rows = spark.read.parquet(path)
+    part, nth = F.shiftright(name, 33), F.col(name).bitwiseAND((1 << 33) - 1)
+    before = Window.orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.groupBy(part.alias("range_")).agg(F.count(F.lit(1)).alias("n"))
+    base = sizes.select("range_", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base_"))
+    numbered = rows.join(F.broadcast(base), part == F.col("range_"))
+    return numbered.withColumn(name, F.col("base_") + nth).select(*(F.col(f"`{c}`") for c in df.columns), name)
+
+
+def write_jdbc(df: DataFrame, url: str, name: str, user: str, password: str, mode: str = "append") -> None:
+    """Append to a database table, one connection for each task."""
+    df.write.format("jdbc").mode(mode).options(url=url, dbtable=name, user=user, password=password).save()
 
 
 def read_jdbc(spark: SparkSession, url: str, name: str, user: str, password: str) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenrec.functions import scalars as S
-from lumenrec.operators import chatlog, clean, dialogue, fuzzy, similarity, stats
+from lumenrec.operators import chatlog, clean, dialogue, features, fuzzy, similarity, stats
 from lumenrec.sources import files
 from lumenrec.streaming import streams
 
@@ -82,6 +82,64 @@ def test_cleaning(spark):
         clean.join_left(df, df.union(df), "a")
 
 
+def test_cleaning_odd_input(spark):
+    numbers = spark.createDataFrame([(1, None), (None, 2)], "k int, n int")
+    assert clean.infer_numeric(numbers).schema == numbers.schema and clean.uncastable(numbers).count() == 0
+    right = spark.createDataFrame([(None, 1), (None, 2), (1, 3)], "k int, r int")
+    assert sorted(map(tuple, clean.join_left(numbers, right, "k").collect()), key=str) == [(1, None, 3), (None, 2, None)]
+    empty = spark.createDataFrame([(None, 1.0)], "k double, x double")
+    assert clean.impute_normal(empty, "k").first().k is None
+    assert stats.describe(empty, ["k"]).first().n == 0 and stats.boxplot(empty, "x").first().outliers == 0
+
+
+def test_row_ids_over_many_ranges(spark):
+    rows = [(f"k{i:04}" if i % 50 else None, i) for i in range(1, 1001)]
+    got = files.with_row_id(spark.createDataFrame(rows, "k string, i int").repartition(7), "k").orderBy("row_id").collect()
+    assert [r.row_id for r in got] == list(range(1000))
+    assert [r.k for r in got] == [None] * 20 + sorted(k for k, _ in rows if k)
+    assert files.with_row_id(spark.createDataFrame([], "k string"), "k").count() == 0
+
+
+def test_jdbc_round_trip(spark, tmp_path):
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    rows = spark.createDataFrame([(1, "a"), (2, None)], "id long, msg string")
+    for _ in range(2):
+        files.write_jdbc(rows, url, "messages", "app", "app")
+    assert sorted(map(tuple, files.read_jdbc(spark, url, "messages", "app", "app").collect()), key=str) == [(1, "a")] * 2 + [(2, None)] * 2
+
+
+def test_vector_sums_by_workers_and_by_join(spark):
+    docs = spark.createDataFrame([(1, "a b a zz"), (2, None), (3, ""), (4, "zz"), (5, "b " * 3000)], "k long, t string")
+    vectors = spark.createDataFrame([("a", [1.0, 2.0]), ("b", [0.5, -1.0])], "token string, vec array<double>")
+    want = [(1, 3, [2.5, 3.0]), (2, 0, [0.0, 0.0]), (3, 0, [0.0, 0.0]), (4, 0, [0.0, 0.0]), (5, 3000, [1500.0, -3000.0])]
+    for held in (4, 3):
+        assert sorted(map(tuple, features.embed_sum(docs, "k", "t", vectors, 2, held).collect())) == want
+    assert features.embed_sum(docs, "k", "t", vectors.limit(0), 2).filter("hits = 0").count() == 5
+
+
+def test_kmeans_on_indicators(spark):
+    groups = [[1, 0, 0, 1], [0, 1, 1, 0], [0, 0, 0, 0]]
+    rows = [(i, [float(x) for x in groups[i % 3]]) for i in range(30)]
+    got = {r.i: r.cluster for r in similarity.clusters(spark.createDataFrame(rows, "i int, marks array<double>"), "marks", k=3).collect()}
+    assert len(set(got.values())) == 3 and all(got[i] == got[i % 3] for i in range(30)) and set(got.values()) <= {0, 1, 2}
+
+
+def test_kmeans_query(spark, sf_dir):
+    from lumenrec.plans import catalog
+
+    names = {r.p_partkey: frozenset(r.p_name.split()) for r in spark.read.parquet(f"{sf_dir}/part.parquet").collect()}
+    got = {r.p_partkey: r.cluster for r in catalog.kmeans_assign(spark, sf_dir).collect()}
+    by_name = {}
+    for k, words in names.items():
+        by_name.setdefault(words, set()).add(got[k])
+    assert got.keys() == names.keys() and all(len(x) == 1 for x in by_name.values()) and 1 < len(set(got.values())) <= 20
+
+
+def test_rows_without_vectors_are_compared_with_nothing(spark):
+    items = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [0.5, 0.5])], "vec_id long, embedding array<double>")
+    assert {(r.q, r.m) for r in similarity.similarity_rows(items, items).collect()} == {(a, b) for a in (1, 3) for b in (1, 3)}
+
+
 def test_registration_is_idempotent(spark, tmp_path):
     path = str(tmp_path / "users")
     events = spark.createDataFrame([(1, 5, "late"), (1, 3, "early"), (2, 4, "x")], "id long, ts long, name string")
@@ -106,7 +164,8 @@ def test_recommendations(spark, sf_dir):
     items = spark.createDataFrame([(i, [1.0, i / 10], i % 2, f"t{i}", s, y) for i, s, y in ((0, 1.0, None), (2, 2.0, 5), (4, 2.0, None), (6, 2.0, 5), (8, 3.0, 1), (1, 9.0, 9))], "vec_id long, embedding array<double>, cluster int, title string, score double, year int")
     got = similarity.recommend_by_title(items, "t0")
     assert [r.vec_id for r in got.orderBy("pos").collect()] == [8, 2, 6, 4]
-    assert similarity.replies(got).filter("pos = 1").first().line == "1. t8, score 3.0, year 1"
+    shown = similarity.recommend_by_title(items, "t0").withColumns({"type": F.lit("TV"), "episodes": F.lit(26.9), "synopsis": F.lit(None).cast("string")})
+    assert similarity.replies(shown).filter("pos = 1").first().line == "1. t8\nScore: 3.0\nYear: 1\nType: TV\nEpisodes: 26\nDescription:\n?\n"
     with pytest.raises(KeyError):
         similarity.recommend_by_title(items, "nothing")
 
@@ -143,6 +202,8 @@ def test_dialogues():
     assert run(dialogue.recommendation_dialogue, "Start", [text("/help"), text("/start"), text("/help"), press("Feedback"), text("/start"), press("x")]) == ["Start", "ReceiveAnimeName", "ReceiveUserChoice", "ReceiveUserFeedback", "Start", "Start"]
     assert run(dialogue.feedback_dialogue, "NONE", [text("/helpme"), text("Rate anime"), text("Done")]) == ["CHOOSING", "TYPING_REPLY", "END"]
     assert dialogue.feedback_dialogue("TYPING_REPLY", "Done", None)[1] == "done"
+    assert dialogue.feedback_dialogue("CHOOSING", "Rate anime", None) == ("TYPING_REPLY", "ask_rating") and dialogue.feedback_dialogue("CHOOSING", "Evaluate the recommendation", None) == ("TYPING_REPLY", "ask_evaluation")
+    assert dialogue.feedback_dialogue("CHOOSING", "rate anime", None) == ("CHOOSING", "search")
     assert dialogue.feedback_dialogue("TYPING_REPLY", "fine", None) == ("CHOOSING", "store")
 
 
@@ -162,4 +223,52 @@ def test_stream_state_is_the_batch_fold(spark, sf_dir):
 
     batch, stream = catalog.fsm_dialogue(spark, sf_dir), catalog.stream_fsm(spark, sf_dir)
     assert sorted(map(tuple, batch.collect())) == sorted(map(tuple, stream.select(*batch.columns).collect()))
-    assert streams.work_path(spark, "x") != streams.work_path(spark, "x")
+    assert files.work_path(spark, "x") != files.work_path(spark, "x")
+
+
+EVENTS = "event_id long, user_id long, ts long, text string, button string"
+
+
+def put(spark, folder, rows):
+    spark.createDataFrame(rows, EVENTS).coalesce(1).write.mode("append").parquet(f"{folder}/events.parquet")
+
+
+def test_streams_go_on_after_a_restart(spark, tmp_path):
+    first = [(1, 7, 1, "/start", None), (2, 8, 2, "/help", None), (3, 7, 3, "a title", None)]
+    later = [(4, 7, 4, None, "Feedback"), (5, 8, 5, "/start", None), (6, 9, 6, None, None)]
+    for rows in (first, later):
+        put(spark, tmp_path, rows)
+        stream = streams.event_stream(spark, str(tmp_path), files=1)
+        streams.stream_append(stream, f"{tmp_path}/all")
+        streams.stream_split(stream, "text", {"/start": "begun", "/help": "helped"}, f"{tmp_path}/split")
+        streams.stream_register(stream, f"{tmp_path}/users", "user_id", ["ts"])
+        streams.stream_dialogue(stream.select("event_id", "user_id", "ts", "text", "button"), dialogue.recommendation_dialogue, dialogue.START, f"{tmp_path}/steps", f"{tmp_path}/named")
+    read = lambda name: spark.read.parquet(f"{tmp_path}/{name}")
+    assert sorted(r.event_id for r in read("all").collect()) == [1, 2, 3, 4, 5, 6]
+    assert sorted(r.event_id for r in read("split/begun").collect()) == [1, 5] and [r.event_id for r in read("split/helped").collect()] == [2]
+    assert sorted((r.user_id, r.event_id) for r in read("users").collect()) == [(7, 1), (8, 2), (9, 6)]
+    steps = {r.event_id: (r.state_before, r.state_after) for r in read("steps").collect()}
+    assert steps[4] == ("ReceiveUserChoice", "ReceiveUserFeedback") and steps[5] == ("Start", "ReceiveAnimeName") and len(steps) == 6
+
+
+def test_a_repeated_batch_adds_nothing(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a")], "id long, kind string")
+    for _ in range(2):
+        streams._put(rows, f"{tmp_path}/t", 0)
+    assert spark.read.parquet(f"{tmp_path}/t").count() == 1
+
+
+def test_requests_and_choices_get_replies(spark, tmp_path):
+    put(spark, tmp_path, [(1, 7, 1, "red rnig", None), (2, 8, 2, "zzzzzz", None), (3, 9, 3, None, "red ring")])
+    events = streams.event_stream(spark, str(tmp_path))
+    titles = spark.createDataFrame([("red ring",), ("red rings",), ("blue",), (None,)], "title string")
+    streams.stream_candidates(events.filter("text is not null").withColumnRenamed("text", "request"), titles, f"{tmp_path}/candidates")
+    got = {(r.event_id, r["rank"], r.title, r.reply) for r in spark.read.parquet(f"{tmp_path}/candidates").collect()}
+    assert got == {(1, 1, "red ring", streams.CONFIRM), (1, 2, "red rings", streams.CONFIRM), (2, None, None, streams.UNKNOWN_TITLE)}
+    items = spark.createDataFrame([(i, [1.0, i / 10], 0, t, 5.0, 2001.0, "TV", 12.0, "text") for i, t in enumerate(["red ring", "blue", "red ring"])], "vec_id long, embedding array<double>, cluster int, title string, score double, year double, type string, episodes double, synopsis string")
+    streams.stream_recommendations(events.filter("button is not null").withColumnRenamed("button", "title"), items, f"{tmp_path}/replies")
+    replies = spark.read.parquet(f"{tmp_path}/replies").orderBy("pos").collect()
+    assert [(r.event_id, r.user_id, r.pos, r.vec_id) for r in replies] == [(3, 9, 1, 1), (3, 9, 2, 2)]
+    assert replies[0].line == "1. blue\nScore: 5.0\nYear: 2001\nType: TV\nEpisodes: 12\nDescription:\ntext\n"
+    streams.stop_all(spark)
+    assert not spark.streams.active
