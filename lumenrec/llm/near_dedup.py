@@ -41,6 +41,8 @@ REGISTERS, ROWS = 64, 4
 BASE, RATE, TOP = 1.001, 20.0, 65535
 #: Classes compared at once in a bucket that is still open.
 BLOCK = 256
+#: Tasks over which the members of one open bucket are dealt when they meet its blocks.
+SALTS = 16
 #: Deviations of the estimate by which a pair must miss the threshold to be ruled out unseen.
 MARGIN = 5.5
 SIGNATURE = "doc_id long, n_shingles long, set_id binary, bands array<long>"
@@ -192,9 +194,12 @@ def open_blocks(members: DataFrame, threshold: int) -> DataFrame:
     least = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / threshold) + 1e-9).cast("int") if threshold < 100 else F.col("n").cast("int")
     members = members.select("band", "key", "doc_id", "comp", (F.col("comp") != F.col("main")).cast("int").alias("other"), least.alias("class"))
     units = members.groupBy("band", "key", "other", "class").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    dealt = members.join(units, ["band", "key", "other", "class"]).withColumn("nth", F.pmod(F.xxhash64("doc_id", F.lit(2)), F.col("blocks")).cast("int")).drop("blocks")
-    partner = units.select(F.col("band").alias("b"), F.col("key").alias("k"), F.col("other").alias("o"), F.col("class").alias("c"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("m"))
-    like = (F.col("band") == F.col("b")) & (F.col("key") == F.col("k")) & (F.abs(F.col("class") - F.col("c")) <= 1) & (F.col("other") + F.col("o") > 0)
+    # a bucket's members are dealt over SALTS tasks, and its few units go to each of them
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    salted = members.withColumn("salt", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(SALTS)).cast("int"))
+    dealt = salted.join(units.select("*", salts), ["band", "key", "other", "class", "salt"]).withColumn("nth", F.pmod(F.xxhash64("doc_id", F.lit(2)), F.col("blocks")).cast("int")).drop("blocks")
+    partner = units.select(F.col("band").alias("b"), F.col("key").alias("k"), F.col("other").alias("o"), F.col("class").alias("c"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("m")).select("*", salts.alias("s"))
+    like = (F.col("band") == F.col("b")) & (F.col("key") == F.col("k")) & (F.col("salt") == F.col("s")) & (F.abs(F.col("class") - F.col("c")) <= 1) & (F.col("other") + F.col("o") > 0)
     mine, its = F.struct(F.col("other").alias("o"), F.col("class").alias("c"), F.col("nth").alias("m")), F.struct("o", "c", "m")
     return dealt.join(partner, like).select("band", "key", F.least(mine, its).alias("i"), F.greatest(mine, its).alias("j"), (mine > its).cast("int").alias("side"), "doc_id", "comp")
 
