@@ -176,13 +176,14 @@ def repeated_segments(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """docs with repeated passages of min_words words or more removed from `text`; other columns as they are."""
     segments = repeated_segments(docs.select("doc_id", "text"), min_words)
-    # the columns of docs travel as one, so that none can clash with those used here
-    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
+    # further columns of docs travel under numbers, so that none can clash with those used here
+    names = {"doc_id": "id", "text": "text"} | {c: f"further_{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
+    keyed = docs.select(*(F.col(f"`{c}`").alias(name) for c, name in names.items()), F.xxhash64("text").alias("hash"))
     here = F.col("id").eqNullSafe(F.col("doc")) & (F.col("hash") == F.col("a"))
 
     # the texts that segments must equal, from the documents that hold them first
     wanted = segments.groupBy(F.col("f_doc").alias("doc"), F.col("f_a").alias("a")).agg(F.collect_set(F.struct("f_begin", "n", "parts")).alias("wanted"))
-    pieces = docs.select(F.col("doc_id").alias("id"), "text", F.xxhash64("text").alias("hash")).join(wanted, here).select("doc", "a", "wanted", chunks_of(F.col("text")).alias("c"))
+    pieces = keyed.select("id", "text", "hash").join(wanted, here).select("doc", "a", "wanted", chunks_of(F.col("text")).alias("c"))
     pieces = pieces.select(F.col("doc").alias("f_doc"), F.col("a").alias("f_a"), F.inline(F.transform("wanted", lambda w: F.struct(w["f_begin"].alias("f_begin"), w["n"].alias("n"), w["parts"].alias("parts"), _segment(F.col("c"), w["f_begin"], w["n"]).alias("same")))))
     pieces = pieces.groupBy("f_doc", "f_a", "f_begin", "n").agg(F.first("same").alias("same"), F.first("parts").alias("parts"))
     # the later copies of a segment are dealt into parts, and its first copy goes to each of them
@@ -193,5 +194,5 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     same = same.groupBy("doc", "a").agg(F.collect_list(F.struct("begin", "n", F.col("same").alias("text"))).alias("same"), F.sum("most").alias("most"))
     same = same.filter(F.col("most") >= min_words).drop("most")  # with fewer words no run can be long enough
 
-    text = F.when(F.col("same").isNull(), F.col("row.text")).otherwise(without_runs(chunks_of(F.col("row.text")), F.col("same"), min_words))
-    return keyed.join(same, here, "left").withColumn("text", text).select(*("text" if c == "text" else F.col("row")[c].alias(c) for c in docs.columns))
+    text = F.when(F.col("same").isNull(), F.col("text")).otherwise(without_runs(chunks_of(F.col("text")), F.col("same"), min_words))
+    return keyed.join(same, here, "left").withColumn("text", text).select(*(F.col(names[c]).alias(c) for c in docs.columns))
