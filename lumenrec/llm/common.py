@@ -22,9 +22,10 @@ def shared_dir(spark: SparkSession) -> str:
     conf = spark.sparkContext.getConf()
     root = conf.get("spark.checkpoint.dir")
     if not root:
-        if not conf.get("spark.master", "local").startswith("local["):
+        master = conf.get("spark.master", "local")
+        if master != "local" and not master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = os.environ.setdefault("LUMENREC_SHARED", tempfile.mkdtemp(prefix="lumenrec-"))
+        root = os.environ.get("LUMENREC_SHARED") or os.environ.setdefault("LUMENREC_SHARED", tempfile.mkdtemp(prefix="lumenrec-"))
     return root.rstrip("/")
 
 
