@@ -7,9 +7,11 @@ ties have no order where none is stated; other columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.files import work_path
+
 
 def unpivot(row: DataFrame, columns: list[str], parts: list[str]) -> DataFrame:
     """One wide row `<column>__<part>` into a row for each column."""
@@ -30,24 +32,47 @@ def null_fraction(df: DataFrame) -> DataFrame:
 QUARTILES = (0.25, 0.5, 0.75)
 
 
-def quartiles(column: Column, exact: bool) -> Column:
-    """The three quartiles as an array, from one buffer."""
-    q = F.array(*map(F.lit, QUARTILES))
-    return F.percentile(column, q) if exact else F.percentile_approx(column, q, F.lit(10000))
-
+def quartiles(df: DataFrame, columns: list[str], exact: bool = True) -> DataFrame:
+    """column_name, q: the three quartiles of each column as an array, between neighbours in proportion.
 
-def describe(df: DataFrame, columns: list[str], exact: bool = True) -> DataFrame:
-    """count, mean, std, least, quartiles, largest of each column in one pass.
+    Exact ones are found by rank. Values are counted, the counts sorted into ranges of
+    the values and written, and only the ranges that hold a wanted rank are numbered;
+    so no task holds more than one range of a column's distinct values. exact=False
+    takes one pass and a buffer of bounded size for each column.
 
-    Exact quartiles keep the distinct values of a column; exact=False bounds the
-    memory for columns with very many of them.
+    Nulls are left out and NaN is the largest value; a column without values has no row.
     """
+    if not exact:
+        q = F.array(*map(F.lit, QUARTILES))
+        row = df.agg(*(F.percentile_approx(F.col(c).cast("double"), q, F.lit(10000)).alias(f"{c}__q") for c in columns))
+        return unpivot(row, columns, ["q"]).filter("q is not null")
+    spark, path = df.sparkSession, work_path(df.sparkSession, "counts")
+    cells = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("value")) for c in columns))).alias("cell"))
+    counts = cells.select("cell.*").filter("value is not null").groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
+    counts.repartitionByRange("column_name", "value").withColumn("range_", F.spark_partition_id()).write.parquet(path)
+    counts = spark.read.parquet(path)
+    column = Window.partitionBy("column_name")
+    sizes = counts.groupBy("column_name", "range_").agg(F.sum("n").alias("size"))
+    sizes = sizes.select("column_name", "range_", F.sum("size").over(column.orderBy("range_")).alias("end"), "size", F.sum("size").over(column).alias("total"))
+    places = F.array(*(F.lit(p) * (F.col("total") - 1) for p in QUARTILES))
+    ranks = F.array_distinct(F.flatten(F.transform(places, lambda x: F.array(F.floor(x), F.ceil(x)))))
+    begin = F.col("end") - F.col("size")
+    sizes = sizes.select("column_name", "range_", "total", begin.alias("begin"), F.filter(ranks, lambda r: (r >= begin) & (r < F.col("end"))).alias("ranks")).filter(F.size("ranks") > 0)
+    upto = F.col("begin") + F.sum("n").over(Window.partitionBy("column_name", "range_").orderBy("value"))
+    held = counts.join(F.broadcast(sizes), ["column_name", "range_"]).withColumn("upto", upto)  # six ranges of a column at most
+    held = held.select("column_name", "total", "value", F.explode(F.filter("ranks", lambda r: (r >= F.col("upto") - F.col("n")) & (r < F.col("upto")))).alias("rank"))
+    at = held.groupBy("column_name", "total").agg(F.map_from_entries(F.collect_list(F.struct("rank", "value"))).alias("at"))
+    low, high = lambda x: F.try_element_at("at", F.floor(x)), lambda x: F.try_element_at("at", F.ceil(x))
+    between = lambda x: F.when(F.ceil(x) > F.floor(x), (F.ceil(x) - x) * low(x) + (x - F.floor(x)) * high(x)).otherwise(low(x))
+    return at.select("column_name", F.transform(places, between).alias("q"))
+
+
+def describe(df: DataFrame, columns: list[str], exact: bool = True) -> DataFrame:
+    """count, mean, std, least, quartiles, largest of each column; nulls where a column has no values."""
     parts = {"n": F.count, "mean": F.avg, "std": F.stddev_samp, "low": F.min, "high": F.max}
     aggs = [f(F.col(c).cast("double")).alias(f"{c}__{p}") for c in columns for p, f in parts.items()]
-    aggs += [quartiles(F.col(c).cast("double"), exact).alias(f"{c}__q") for c in columns]
-    row = df.agg(*aggs)
-    row = row.withColumns({f"{c}__{p}": F.get(F.col(f"{c}__q"), F.lit(i)).cast("double") for c in columns for i, p in enumerate(("q25", "q50", "q75"))})
-    return unpivot(row, columns, ["n", "mean", "std", "low", "q25", "q50", "q75", "high"])
+    rows = unpivot(df.agg(*aggs), columns, list(parts)).join(quartiles(df, columns, exact), "column_name", "left")
+    return rows.select("column_name", "n", "mean", "std", "low", *(F.get("q", F.lit(i)).alias(f"q{25 * i + 25}") for i in range(3)), "high")
 
 
 def info(df: DataFrame) -> DataFrame:
@@ -79,7 +104,7 @@ def mean_by(df: DataFrame, by: str, column: str) -> DataFrame:
 def boxplot(df: DataFrame, column: str, exact: bool = True) -> DataFrame:
     """Quartiles, whiskers within 1.5 interquartile ranges, outliers."""
     c = F.col(column).cast("double")
-    q = df.agg(quartiles(c, exact).alias("q")).select(*(F.get("q", F.lit(i)).alias(f"q{i + 1}") for i in range(3)))
+    q = quartiles(df, [column], exact).agg(F.first("q").alias("q")).select(*(F.get("q", F.lit(i)).alias(f"q{i + 1}") for i in range(3)))
     low, high = F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")), F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))
     inside = c.between(low, high)
     both = df.select(column).join(F.broadcast(q))  # a single row

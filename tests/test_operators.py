@@ -218,6 +218,29 @@ def test_statistics(spark):
     assert clean.impute_normal(df.withColumn("x", F.when(F.col("x") < 50, F.col("x"))), "x").filter("x is null").count() == 0
 
 
+def test_quartiles_are_exact_over_many_ranges(spark):
+    rng = np.random.default_rng(3)
+    a, b, c = rng.normal(size=5_001), rng.integers(0, 9, 5_001).astype(float), rng.exponential(size=5_001)
+    c[rng.random(5_001) < 0.4] = np.nan
+    df = spark.createDataFrame([(x, y, None if np.isnan(z) else z, None) for x, y, z in zip(a.tolist(), b.tolist(), c.tolist())], "a double, b double, c double, empty double")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r.column_name: r for r in stats.describe(df, df.columns).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    for name, x in (("a", a), ("b", b), ("c", c)):
+        want = np.nanquantile(x, [0.25, 0.5, 0.75])
+        assert [got[name].q25, got[name].q50, got[name].q75] == pytest.approx(want.tolist(), rel=1e-12, abs=1e-12) and got[name].n == np.isfinite(x).sum()
+    assert tuple(got["empty"])[1:] == (0, *[None] * 7)
+    # one, two and three values, repeated ones
+    for values in ([7.0], [1.0, 2.0], [1.0, 1.0, 4.0], [5.0] * 9):
+        some = stats.describe(spark.createDataFrame([(v,) for v in values], "x double"), ["x"]).first()
+        assert [some.q25, some.q50, some.q75] == np.quantile(values, [0.25, 0.5, 0.75]).tolist()
+    assert stats.boxplot(df.limit(0), "a").count() == 0 and stats.boxplot(df, "empty").first().q2 is None
+    rough = stats.describe(df, ["a", "empty"], exact=False).orderBy("column_name").collect()
+    assert abs(rough[0].q50 - np.median(a)) < 0.05 and rough[1].q50 is None
+
+
 def test_stream_state_is_the_batch_fold(spark, sf_dir):
     from lumenrec.plans import catalog
 
