@@ -68,12 +68,12 @@ def _parted(s: Column) -> Column:
 
 
 def _begins(s: Column) -> Column:
-    """Numbers of the lines that are not blank, and of the first."""
-    return F.filter(F.sequence(F.lit(0), F.size(s["line"]) - 1), lambda i: (i == 0) | F.get(s["line"], i).rlike(r"\S"))
+    """Numbers of the lines that are not blank, and of the first. The first byte nearly always settles it."""
+    return F.filter(F.sequence(F.lit(0), F.size(s["line"]) - 1), lambda i: (i == 0) | (F.get(s["line"], i) >= "!") | F.get(s["line"], i).rlike(r"\S"))
 
 
 def seeds_of(text: Column, min_words: int = MIN_WORDS) -> Column:
-    """Array of (at, h): of the k-th line that is not blank, at 2 k + 1 the hash of it and the next one, at 2 k that of itself if it has min_words words."""
+    """pairs: hashes of the k-th line that is not blank and the next one, for every k but the last; singles: (at, h), at 2 k the hash of the k-th by itself if it has min_words words."""
 
     def hashed(s: Column) -> Column:
         def each(b: Column, hashes: Column) -> Column:
@@ -81,14 +81,15 @@ def seeds_of(text: Column, min_words: int = MIN_WORDS) -> Column:
                 j = F.get(b, k + 1)
                 near = F.xxhash64(F.get(hashes, i), F.get(s["kind"], i), F.get(hashes, j))
                 far = F.xxhash64(F.slice(hashes, i + 1, j - i + 1), F.slice(s["kind"], i + 1, j - i))
-                return F.struct((2 * k + 1).alias("at"), F.when(j == i + 1, near).when(j.isNotNull(), far).alias("h"))
+                return F.when(j == i + 1, near).otherwise(far)
 
             def single(i: Column, k: Column) -> Column:
                 line = F.get(s["line"], i)
                 whole = (F.length(line) >= 2 * min_words - 1) & (words_in(line) >= min_words)
-                return F.struct((2 * k).alias("at"), F.when(whole, F.xxhash64(F.get(hashes, i))).alias("h"))
+                return F.when(whole, F.struct((2 * k).alias("at"), F.xxhash64(F.get(hashes, i)).alias("h")))
 
-            return F.filter(F.concat(F.transform(b, pair), F.transform(b, single)), lambda x: x["h"].isNotNull())
+            singles = F.filter(F.transform(b, single), lambda x: x.isNotNull())
+            return F.struct(F.transform(F.slice(b, F.lit(1), F.size(b) - 1), pair).alias("pairs"), singles.alias("singles"))
 
         return let(_begins(s), lambda b: let(F.transform(s["line"], lambda x: F.xxhash64(x)), lambda hashes: each(b, hashes)))
 
@@ -156,21 +157,24 @@ def without_runs(chunks: Column, same: Column, min_words: int) -> Column:
 
 def repeated_segments(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc, a, begin, n, f_doc, f_a, f_begin, parts: n chunks of a document from begin on whose seeds stand first in another place; a hashes the text."""
-    seeds = docs.filter("text <> ''").select("doc_id", F.xxhash64("text").alias("a"), F.explode(seeds_of(F.col("text"), min_words)).alias("s"))
-    seeds = staged(seeds.select(F.col("doc_id").alias("doc"), "a", "s.at", "s.h"), "seeds")
+    hashed = docs.filter("text <> ''").select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("a"), seeds_of(F.col("text"), min_words).alias("s"))
+    hashed = staged(hashed, "seeds")  # a row for each document: a row for each seed takes twice the time to write
+    pairs = hashed.select("doc", "a", F.posexplode("s.pairs").alias("k", "h")).select("doc", "a", (2 * F.col("k") + 1).alias("at"), "h")
+    seeds = pairs.union(hashed.select("doc", "a", F.inline("s.singles")))
     place = F.struct(F.col("doc").isNull().alias("null"), "doc", "a", "at")
     hashes = seeds.groupBy("h").agg(F.count(F.lit(1)).alias("copies"), F.min(place).alias("f")).filter("copies > 1")
     found = seeds.join(staged(hashes, "hashes"), "h").filter(F.col("f") != place)
     found = found.select("doc", "a", "at", F.col("f.doc").alias("f_doc"), F.col("f.a").alias("f_a"), F.col("f.at").alias("f_at"), F.ceil(F.col("copies") / COPIES).cast("int").alias("parts"))
     along = Window.partitionBy("doc", "a").orderBy(F.col("at") % 2, "at")
     before = F.lag(F.struct("at", "f_doc", "f_a", "f_at")).over(along)
-    step = F.col("at") - before["at"]
-    goes_on = before["f_doc"].eqNullSafe(F.col("f_doc")) & (before["f_a"] == F.col("f_a")) & (step == F.col("f_at") - before["f_at"]) & (step <= F.col("at") % 2 * 2)
+    step = F.col("at") - before["at"]  # 0 in a row that is there twice, 2 from pair to pair; from a line by itself no run goes on
+    goes_on = before["f_doc"].eqNullSafe(F.col("f_doc")) & (before["f_a"] == F.col("f_a")) & (step == F.col("f_at") - before["f_at"]) & step.isin(F.lit(0), F.col("at") % 2 * 2)
     found = found.withColumn("new", F.when(goes_on, 0).otherwise(1)).withColumn("nth", F.sum("new").over(along))
-    one = found.groupBy("doc", "a", "nth").agg(F.min(F.struct("at", "f_at", "parts")).alias("x"), F.max("at").alias("last"), F.first("f_doc").alias("f_doc"), F.first("f_a").alias("f_a"))
+    # along a run places rise together, so the least ones are those of its first seed; buffers of fixed width need no sort
+    one = found.groupBy("doc", "a", "nth").agg(F.min("at").alias("at"), F.min("f_at").alias("f_at"), F.min("parts").alias("parts"), F.max("at").alias("last"), F.first("f_doc").alias("f_doc"), F.first("f_a").alias("f_a"))
     half = lambda c: F.shiftright(c, 1)
-    n = half(F.col("last") - F.col("x.at")) + 1 + F.col("x.at") % 2
-    return staged(one.select("doc", "a", half(F.col("x.at")).alias("begin"), n.alias("n"), "f_doc", "f_a", half(F.col("x.f_at")).alias("f_begin"), "x.parts"), "segments")
+    n = half(F.col("last") - F.col("at")) + 1 + F.col("at") % 2
+    return staged(one.select("doc", "a", half(F.col("at")).alias("begin"), n.alias("n"), "f_doc", "f_a", half(F.col("f_at")).alias("f_begin"), "parts"), "segments")
 
 
 def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:

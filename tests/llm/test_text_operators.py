@@ -170,6 +170,31 @@ def test_repeated_passages_go_and_clean_text_stays(spark):
         assert set(got[i].split()) >= set(text.split("\n")[0].split()) and got[i].endswith(text.split("\n")[-1])
 
 
+def test_line_hashes_are_written_a_row_for_each_document(spark, monkeypatch):
+    tables, write = {}, line_dedup.staged
+    monkeypatch.setattr(line_dedup, "staged", lambda df, name: tables.setdefault(name, write(df, name)))
+    rng = random.Random(3)
+    line = lambda n: " ".join(words(rng, n))
+    passage = "\n".join([line(60), "\x0b", *(line(9) for _ in range(30)), "", line(70)])
+    docs = [(i, f"{line(20)}\n{passage}\n{line(5)}") for i in range(4)]
+    segments = line_dedup.repeated_segments(spark.createDataFrame(docs, DOCS))
+    assert tables["seeds"].count() == 4
+    # numbers of the lines that are not blank: the passage, and by themselves its two lines of 60 words and more
+    assert {(r.doc, r.f_doc, r.begin, r.f_begin, r.n) for r in segments.collect()} == {(i, 0, b, b, n) for i in (1, 2, 3) for b, n in ((1, 32), (1, 1), (32, 1))}
+
+
+def test_a_long_line_at_the_same_place_leaves_other_repeats_whole(spark):
+    rng = random.Random(4)
+    line = lambda n: " ".join(words(rng, n))
+    first, lone, head = [line(8) for _ in range(8)], line(60), line(55)
+    far = ["\n".join([line(5), *first, line(6), line(7), lone, line(5)]) for _ in range(2)]
+    close = ["\n".join([line(5), head, "a b c", "d e f", line(5)]) for _ in range(2)]
+    docs = list(enumerate(far + close))
+    got = {r.doc_id: r.text.split("\n") for r in line_dedup.line_dedup(spark.createDataFrame(docs, DOCS)).collect()}
+    left = [x.split("\n") for x in far + close]
+    assert got == {0: left[0], 1: left[1][:1] + left[1][9:11] + left[1][12:], 2: left[2], 3: left[3][:1] + left[3][4:]}
+
+
 def test_passages_of_few_lines_go_whatever_stands_beside_them(spark):
     rng = random.Random(11)
     line = lambda n: " ".join(words(rng, n))
