@@ -43,6 +43,8 @@ BASE, RATE, TOP = 1.001, 20.0, 65535
 BLOCK = 256
 #: Tasks over which the members of one open bucket are dealt when they meet its blocks.
 SALTS = 16
+#: Bits of the largest map that says which documents' sets are wanted before their texts are shuffled.
+MAP = 1 << 27
 #: Deviations of the estimate by which a pair must miss the threshold to be ruled out unseen.
 MARGIN = 5.5
 SIGNATURE = "doc_id long, n_shingles long, set_id binary, bands array<long>"
@@ -204,6 +206,19 @@ def open_blocks(members: DataFrame, threshold: int) -> DataFrame:
     return dealt.join(partner, like).select("band", "key", F.least(mine, its).alias("i"), F.greatest(mine, its).alias("j"), (mine > its).cast("int").alias("side"), "doc_id", "comp")
 
 
+def perhaps(rows: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """The rows whose doc_id is among the n wanted ones, and a few others (3 to 6 in 100 as long as the map is not full size), without a shuffle.
+
+    A hashed bit for each of the wanted, in a map of limited size that goes to all tasks: more of them let more others pass.
+    """
+    size = min(MAP, max(64, 1 << (16 * n).bit_length()))
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(size))
+    one = F.expr("shiftleft(1L, cast(bit % 64 AS int))")
+    bits = wanted.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(one).alias("bits"))
+    marked = rows.withColumn("bit", bit).join(F.broadcast(bits), F.shiftright("bit", 6) == F.col("word"))
+    return marked.filter(F.col("bits").bitwiseAND(one) != 0).select(*rows.columns)
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs(doc_id, text); threshold in hundredths."""
     spark = docs.sparkSession
@@ -223,9 +238,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFra
     near = pairs.join(left, "u").join(right, "v").select("u", "v", "nu", "nv", "bu", "bv").mapInArrow(_plausible(threshold), "u long, v long")
     near = staged(near, "pairs")
 
-    wanted = near.select(F.col("u").alias("doc_id")).union(near.select("v")).union(shared.filter("members > 2").select("doc_id")).distinct()
-    chosen = texts.join(wanted, "doc_id", "left_semi")
-    sets = staged(chosen.mapInArrow(_shingles(k), "doc_id long, shingles binary").dropDuplicates(["doc_id"]), "sets")
+    wanted = near.select(F.col("u").alias("doc_id")).union(near.select("v")).union(shared.filter("members > 2").select("doc_id"))
+    wanted = staged(wanted.distinct(), "wanted")
+    # sets are made where the texts lie; only those of wanted documents, and of few others, are shuffled
+    made = perhaps(texts, wanted, wanted.count()).mapInArrow(_shingles(k), "doc_id long, shingles binary")
+    sets = staged(made.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "sets")
     part = lambda x: sets.select(F.col("doc_id").alias(x), F.col("shingles").alias(f"s{x}"))
     starred = staged(near.join(part("u"), "u").join(part("v"), "v").select("u", "v", "su", "sv").mapInArrow(_verified(threshold), "u long, v long"), "links")
     labels = components(starred)
@@ -244,7 +261,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFra
     labels = components(links)
 
     final = classes.select("set_id", "doc_id").join(labels, F.col("doc_id") == F.col("u"), "left").select("set_id", F.coalesce("v", "doc_id").alias("component"))
-    for done in (shared, near, sets, starred, many, links):
+    for done in (shared, near, wanted, sets, starred, many, links):
         discard(done)
     out = signed.join(final, "set_id", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

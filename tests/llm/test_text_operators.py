@@ -87,6 +87,28 @@ def test_near_duplicates_odd_input(spark, odd):
     assert near_dedup.drop_near_duplicates(clash, 3, 85).columns == clash.columns and near_dedup.drop_near_duplicates(clash, 3, 85).count() == 8
 
 
+def test_texts_are_not_shuffled_to_find_the_sets_that_are_compared(spark, monkeypatch):
+    plans, write, key = {}, near_dedup.staged, "spark.sql.autoBroadcastJoinThreshold"
+    told = lambda df: spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+    monkeypatch.setattr(near_dedup, "staged", lambda df, name: (plans.setdefault(name, told(df)), write(df, name))[1])
+    monkeypatch.setattr(near_dedup, "MAP", 64)  # a full map lets all pass and loses nothing
+    rng = random.Random(8)
+    docs = [(i, " ".join(words(rng, 60))) for i in range(200)]
+    docs += [(1000 + i, t + " more") for i, t in docs[:100]] + [(None, docs[0][1])]
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        got = near_dedup.near_duplicates(spark.createDataFrame(docs, DOCS), 3, 85).filter("doc_id is not null").collect()
+    finally:
+        spark.conf.set(key, before)
+    assert set(map(tuple, got)) == brute_components(docs[:-1], 3, 85)
+    assert "shingles" in plans["sets"] and not re.search(r"\) Exchange\s*\nInput \[\d+\]: \[[^\]]*text#", plans["sets"])
+    monkeypatch.undo()
+    ids = spark.range(100_000).withColumnRenamed("id", "doc_id")
+    passed = {r.doc_id for r in near_dedup.perhaps(ids, ids.filter("doc_id % 100 = 0"), 1_000).collect()}
+    assert passed >= set(range(0, 100_000, 100)) and len(passed) < 9_000
+
+
 def test_an_outlier_costs_no_square(spark):
     rows = [(0, 7, 1, i, 1, 1000 + i % 5) for i in range(20_000)] + [(0, 7, 1, 90_000, 90_000, 1003), (0, 7, 1, 90_001, 90_001, 10)]
     members = spark.createDataFrame(rows, "band int, key long, main long, doc_id long, comp long, n long")
